@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import column_of, stash, table
-from .tokens import Encoder
+from .tokens import encoder, tokenizer_path
 
 NAME = "op4_packing"
 SQL = None
@@ -36,17 +36,6 @@ RELEASE = 24
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def tokenizer_path(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
-@functools.lru_cache(maxsize=2)
-def _encoder(path: str, kind: str, end_id: int) -> Encoder:
-    return Encoder(path, kind, end_id)
-
-
 def cut(n: int, capacity: int) -> list[tuple[int, int]]:
     """(start, length) of the pieces of n ids: the first takes the odd length, the rest are full."""
     first = n % capacity or min(n, capacity)
@@ -57,11 +46,10 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def pieces(batches):
-        encoder = _encoder(path or tokenizer_path("byte_bpe_50k.json"), "byte", end_id)
+        encode = encoder(path or tokenizer_path("byte_bpe_50k.json"), "byte", end_id).encode
         for batch in batches:
             rows = []
-            for doc_id, text in zip(column_of(batch, "doc_id"), column_of(batch, "text")):
-                ids = encoder.encode(text)
+            for doc_id, ids in zip(column_of(batch, "doc_id"), encode(column_of(batch, "text"))):
                 rows += [(doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
             cols = list(zip(*rows)) or [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
@@ -132,10 +120,10 @@ def _round(pieces: DataFrame, groups: int, number: int, capacity: int, parts: in
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(number)), F.lit(groups)))
 
     def packed(batches):
-        got = pa.Table.from_batches(list(batches))
-        if not got.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
-        got = got.sort_by([("_group", "ascending"), ("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]).combine_chunks()
+        got = pa.Table.from_batches(batches).sort_by([("_group", "ascending"), ("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")]).combine_chunks()
         group, length = got["_group"].to_numpy(), got["length"].to_numpy()
         edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
         for a, b in zip(edges[:-1], edges[1:]):

@@ -2,26 +2,37 @@
 
 Both public vocabularies split a text before merging, and no piece of the split reaches over the
 boundaries used here, so the ids of a text are those of its parts in a row. The ids of parts met
-before come from a dictionary as bytes (little-endian unsigned 32-bit); the others go to
-encode_batch. Texts with characters beyond Latin-1, control characters, or the string of a
-special token go to the tokenizer as a whole.
+before come from a dictionary as bytes (little-endian unsigned 32-bit). New parts are encoded
+together, with the string of a special token between them: the tokenizer cuts there before all
+else, and its id marks where a part ends. Texts with characters beyond Latin-1, control
+characters, or the string of a special token go to the tokenizer as a whole.
 """
 
 from __future__ import annotations
 
+import functools
 import os
 import re
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
 #: Texts of which the parts are known to be independent.
-PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa1-\xff]*")
-#: Entries of the dictionary before it starts anew: about 60 MB.
-KEPT = 250_000
+NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]")
+#: Entries of the dictionary before it starts anew: about 80 MB.
+KEPT = 400_000
+#: Characters of text taken at a time.
+CHUNK = 1_000_000
+
+
+def tokenizer_path(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 class Encoder:
-    """encode(texts) gives the ids of each as bytes. kind: 'byte' keeps white space, 'word' drops it."""
+    """kind: 'byte' keeps white space in the ids, 'word' drops it. Every text gets the end id."""
 
     def __init__(self, path: str, kind: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -29,25 +40,54 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], dtype="<u4").tobytes()
-        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.special = list(special.values())
+        self.mark, self.mark_text = next(iter(special.items()))
         self.parts = re.compile(r" ?[^\s]+|\s+(?!\S)|\s").findall if kind == "byte" else str.split
         self.known: dict[str, bytes] = {}
 
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        got = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in got]
-
-    def encode(self, text: str | None) -> bytes:
-        """The ids of one text and the end id."""
-        if not text:
-            return self.end
-        if not PLAIN.fullmatch(text) or any(s in text for s in self.special):
-            return self._whole([text])[0] + self.end
-        parts = self.parts(text)
-        new = list(set(parts) - self.known.keys())
-        if new:
-            if len(self.known) + len(new) > KEPT:
-                self.known.clear()
-                new = list(set(parts))
-            self.known.update(zip(new, self._whole(new)))
-        return b"".join(map(self.known.__getitem__, parts)) + self.end
+    def whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return np.array(ids, dtype="<u4").tobytes()
+
+    def _learn(self, parts: list[str]) -> None:
+        for at in range(0, len(parts), 20_000):
+            some = parts[at : at + 20_000]
+            got = self.tokenizer.encode_batch_fast([self.mark_text.join(some)], add_special_tokens=False)[0].ids
+            ids = np.array(got, dtype="<u4")
+            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
+            raw, start = ids.tobytes(), 0
+            for part, end in zip(some, ends, strict=True):
+                self.known[part] = raw[4 * start : 4 * end]
+                start = end + 1
+
+    def _chunk(self, texts: list[str | None]) -> Iterator[bytes]:
+        split = [self.parts(t) if t and not NOT_PLAIN.search(t) and not any(s in t for s in self.special) else None for t in texts]
+        need: set[str] = set().union(*[s for s in split if s])
+        new = need - self.known.keys()
+        if new and len(self.known) + len(new) > KEPT:
+            self.known = {}
+            new = need
+        self._learn(list(new))
+        for text, parts in zip(texts, split):
+            if parts is None:
+                yield (self.whole(text) if text else b"") + self.end
+            else:
+                yield b"".join(map(self.known.__getitem__, parts)) + self.end
+
+    def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
+        """The ids of each text and the end id, in order."""
+        some, size = [], 0
+        for text in texts:
+            some.append(text)
+            size += len(text or "")
+            if size > CHUNK:
+                yield from self._chunk(some)
+                some, size = [], 0
+        yield from self._chunk(some)
+
+
+@functools.lru_cache(maxsize=2)
+def encoder(path: str, kind: str, end_id: int) -> Encoder:
+    """One for each worker process."""
+    return Encoder(path, kind, end_id)
