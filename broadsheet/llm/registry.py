@@ -1,8 +1,8 @@
 """The corpus queries by name; each module brings its own query and, where there is one, its SQL."""
 
-from . import mixing, packing
+from . import mixing, packing, tokenids
 
-MODULES = (mixing, packing)
+MODULES = (mixing, packing, tokenids)
 
 
 def queries():
