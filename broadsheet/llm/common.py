@@ -3,14 +3,14 @@
 from __future__ import annotations
 
 import re
-import tempfile
-import uuid
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.tables import shared_dir, stash, table, unstash  # noqa: F401
+
 #: A word is a run without ASCII white space. The pattern text suits Java, Python and DuckDB.
 WORD = r"[^\x20\x09-\x0D]+"
 WORD_RE = re.compile(WORD)
@@ -20,41 +20,6 @@ def words(text: str | None) -> list[str]:
     return WORD_RE.findall(text) if text else []
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see; a temporary one only where the session names none (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found.rstrip("/")
-    sc = spark.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="broadsheet-"))
-    return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """Writes df as a table in the shared folder and reads it back: lineage ends here, so a lost
-    executor costs no recomputation of what lies before."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._stash_path = path
-    return out
-
-
-def unstash(df: DataFrame) -> None:
-    """Deletes a table of stash() that nothing reads any more."""
-    path = getattr(df, "_stash_path", None)
-    if path:
-        spark = df.sparkSession
-        hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-        hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
-
-
 def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -71,7 +36,3 @@ def range_bounds(df: DataFrame, key: str, n: int) -> list:
 
 def column_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()
-
-
-def uint64s(values: np.ndarray) -> np.ndarray:
-    return np.ascontiguousarray(values).view(np.uint64)

@@ -1,8 +1,8 @@
 """The corpus queries by name; each module brings its own query and, where there is one, its SQL."""
 
-from . import mixing, packing, tokenids
+from . import mixing, packing, simhash, tokenids
 
-MODULES = (mixing, packing, tokenids)
+MODULES = (mixing, simhash, packing, tokenids)
 
 
 def queries():
