@@ -1,11 +1,10 @@
 """Token ids of whole texts by the tokenizers library, fast for repeated words and exact for all.
 
-Both public vocabularies split a text before merging, and no piece of the split reaches over the
-boundaries used here, so the ids of a text are those of its parts in a row. The ids of parts met
-before come from a dictionary as bytes (little-endian unsigned 32-bit). New parts are encoded
-together, with the string of a special token between them: the tokenizer cuts there before all
-else, and its id marks where a part ends. Texts with characters beyond Latin-1, control
-characters, or the string of a special token go to the tokenizer as a whole.
+Both public vocabularies cut a text into pieces by a pattern and merge each piece by itself, so
+the ids of a text are those of its pieces in a row. The ids of pieces met before come from a
+dictionary as bytes (little-endian unsigned 32-bit); new ones go to the tokenizer's merge model.
+The patterns below are those of the vocabularies for Latin-1; texts with other characters,
+control characters, or the string of a special token go to the tokenizer as a whole.
 """
 
 from __future__ import annotations
@@ -13,12 +12,19 @@ from __future__ import annotations
 import functools
 import os
 import re
+import struct
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-#: Texts of which the parts are known to be independent.
+#: Characters beyond those of which the classes are settled here.
 NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]")
+LETTER, NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+#: 'byte' keeps white space in the ids, 'word' drops it and all case.
+PIECES = {
+    "byte": re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+"),
+    "word": re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+"),
+}
 #: Entries of the dictionary before it starts anew: about 80 MB.
 KEPT = 400_000
 #: Characters of text taken at a time.
@@ -32,48 +38,50 @@ def tokenizer_path(name: str) -> str:
 
 
 class Encoder:
-    """kind: 'byte' keeps white space in the ids, 'word' drops it. Every text gets the end id."""
+    """kind: a key of PIECES. Every text gets the end id."""
 
     def __init__(self, path: str, kind: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
         self.end = np.array([end_id], dtype="<u4").tobytes()
-        special = {i: t.content for i, t in self.tokenizer.get_added_tokens_decoder().items()}
-        self.special = list(special.values())
-        self.mark, self.mark_text = next(iter(special.items()))
-        self.parts = re.compile(r" ?[^\s]+|\s+(?!\S)|\s").findall if kind == "byte" else str.split
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.find, self.fold = PIECES[kind].findall, kind == "word"
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {i: as_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(256)}
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _learn(self, parts: list[str]) -> None:
-        for at in range(0, len(parts), 20_000):
-            some = parts[at : at + 20_000]
-            got = self.tokenizer.encode_batch_fast([self.mark_text.join(some)], add_special_tokens=False)[0].ids
-            ids = np.array(got, dtype="<u4")
-            ends = np.append(np.flatnonzero(ids == self.mark), len(ids)).tolist()
-            raw, start = ids.tobytes(), 0
-            for part, end in zip(some, ends, strict=True):
-                self.known[part] = raw[4 * start : 4 * end]
-                start = end + 1
+    def _learn(self, pieces: Iterable[str]) -> None:
+        merge, letters, known, pack = self.tokenizer.model.tokenize, self.letters, self.known, struct.pack
+        for piece in pieces:
+            ids = [t.id for t in merge(piece.translate(letters))]
+            known[piece] = pack(f"<{len(ids)}I", *ids)
+
+    def _pieces(self, text: str | None) -> list[str] | None:
+        if not text or NOT_PLAIN.search(text) or any(s in text for s in self.special):
+            return None
+        return self.find(text.lower() if self.fold else text)
 
     def _chunk(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [self.parts(t) if t and not NOT_PLAIN.search(t) and not any(s in t for s in self.special) else None for t in texts]
+        split = [self._pieces(t) for t in texts]
         need: set[str] = set().union(*[s for s in split if s])
         new = need - self.known.keys()
         if new and len(self.known) + len(new) > KEPT:
             self.known = {}
             new = need
-        self._learn(list(new))
-        for text, parts in zip(texts, split):
-            if parts is None:
+        self._learn(new)
+        get = self.known.__getitem__
+        for text, pieces in zip(texts, split):
+            if pieces is None:
                 yield (self.whole(text) if text else b"") + self.end
             else:
-                yield b"".join(map(self.known.__getitem__, parts)) + self.end
+                yield b"".join(map(get, pieces)) + self.end
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text and the end id, in order."""
