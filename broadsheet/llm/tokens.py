@@ -71,7 +71,7 @@ class Encoder:
     def _chunk(self, texts: list[str | None]) -> Iterator[bytes]:
         split = [self._pieces(t) for t in texts]
         need: set[str] = set().union(*[s for s in split if s])
-        new = need - self.known.keys()
+        new = need.difference(self.known)
         if new and len(self.known) + len(new) > KEPT:
             self.known = {}
             new = need
