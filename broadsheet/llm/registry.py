@@ -1,8 +1,8 @@
 """The corpus queries by name; each module brings its own query and, where there is one, its SQL."""
 
-from . import mixing, packing, simhash, tokenids, toxicity
+from . import mixing, packing, quality, simhash, tokenids, toxicity
 
-MODULES = (mixing, simhash, packing, toxicity, tokenids)
+MODULES = (mixing, simhash, packing, toxicity, tokenids, quality)
 
 
 def queries():
