@@ -1,8 +1,8 @@
 """The corpus queries by name; each module brings its own query and, where there is one, its SQL."""
 
-from . import mixing, packing, pii, quality, simhash, tokenids, toxicity
+from . import mixing, packing, pii, quality, simhash, substrings, tokenids, toxicity
 
-MODULES = (mixing, simhash, packing, toxicity, tokenids, quality, pii)
+MODULES = (mixing, simhash, substrings, packing, toxicity, tokenids, quality, pii)
 
 
 def queries():
