@@ -1,8 +1,8 @@
 """The corpus queries by name; each module brings its own query and, where there is one, its SQL."""
 
-from . import fingerprints, mixing, packing, pii, quality, simhash, substrings, tokenids, toxicity
+from . import fingerprints, mixing, packing, pages, pii, quality, simhash, substrings, tokenids, toxicity
 
-MODULES = (mixing, simhash, substrings, packing, toxicity, tokenids, fingerprints, quality, pii)
+MODULES = (mixing, simhash, substrings, packing, toxicity, tokenids, fingerprints, pages, quality, pii)
 
 
 def queries():
