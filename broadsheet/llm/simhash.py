@@ -220,11 +220,29 @@ def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, h
     """doc_id, fp, component_id: the smallest doc_id that links lead to."""
     prints = stash(fingerprints(docs, shingle), "simhash")
     different = stash(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "simhash-different")
+    by_fp = _rooted(different, radius, hot).select("fp", F.col("least").alias("component_id"))
+    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+
+
+def _rooted(different: DataFrame, radius: int, hot: int) -> DataFrame:
+    """fp, least: for each different fingerprint the least value of its whole component."""
     tied = connected_components(near_links(different, radius, hot)).select(F.col("node").alias("fp"), F.col("component").alias("_root"))
     rooted = different.join(tied, "fp", "left").withColumn("_root", F.coalesce("_root", "fp"))
-    least = rooted.groupBy("_root").agg(F.min("least").alias("component_id"))
-    by_fp = rooted.join(least, "_root").select("fp", "component_id")
-    return prints.join(by_fp, "fp").select("doc_id", "fp", "component_id")
+    return rooted.join(rooted.groupBy("_root").agg(F.min("least").alias("_least")), "_root").select("fp", F.col("_least").alias("least"))
+
+
+def keep_one(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+    """One row of each group of near-duplicates, the smallest doc_id (null last), with the columns of docs.
+
+    docs must be a table as read from files, so that its rows have the same place in both passes.
+    """
+    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
+    # the number of a row stands for its id, so that repeated rows and null ids are told apart
+    prints = fingerprints(numbered.select(F.col("_row").alias("doc_id"), "text"), shingle).select(F.col("doc_id").alias("_row"), "fp")
+    ids = numbered.select("_row", F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"))
+    different = stash(prints.join(ids, "_row").groupBy("fp").agg(F.min(F.struct("_id", "_row")).alias("least")), "simhash-different")
+    kept = _rooted(different, radius, hot).select(F.col("least._row").alias("_row")).distinct()
+    return numbered.join(kept, "_row", "left_semi").select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
