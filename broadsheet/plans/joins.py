@@ -38,14 +38,10 @@ def quadrants(spark, sf_dir):
     return J.quadrants(regions(spark, sf_dir).withColumn("root", root)).select("page_id", "region_id", "quadrant")
 
 
-def _rects(spark, sf_dir):
-    """A sparse page: few enough regions that hulls of articles do not all overlap."""
-    return regions(spark, sf_dir).where("region_id % 5 = 0").withColumnRenamed("region_id", "rect_id")
-
-
 def blank_by_hulls(spark, sf_dir):
-    """Blank rectangles against the box of each article's rectangles."""
-    rects = _rects(spark, sf_dir)
+    """Blank rectangles against the box of each article's rectangles, in strips of 500 pixels so that not all boxes overlap."""
+    rects = regions(spark, sf_dir).withColumnRenamed("region_id", "rect_id")
+    rects = rects.withColumn("page_id", F.col("page_id") * 16 + F.floor(F.col("box.y") / 500))
     return J.blank_to_articles(rects, R.union_boxes(rects.where("article_id <> 'blank'"))).select("page_id", "rect_id", "article_id")
 
 
@@ -70,8 +66,7 @@ def crossed_regions(spark, sf_dir):
 def ringed_lines(spark, sf_dir):
     """Outline of every line that has a distance: its size and its least height."""
     rows = lines(spark, sf_dir)
-    found = O.interline_distances(rows.where("idx % 3 <> 0"))
-    ring = J.with_rings(rows, found).where("ring IS NOT NULL")
+    ring = J.with_rings(rows, O.interline_distances(rows))
     return ring.select("page_id", "idx", F.size("ring").cast("long").alias("n"), C.min_of(F.col("ring"), "y").cast("long").alias("top"))
 
 
@@ -106,7 +101,7 @@ SQL = {
     "image_regions": f"SELECT page_id, region_type, count(*) AS n FROM ({_R}) WHERE region_type = 'GraphicRegion' GROUP BY ALL",
     "regions_by_type": f"SELECT page_id, region_type, count(*) AS n FROM ({_R}) GROUP BY ALL",
     "quadrants": f"SELECT page_id, region_id, k::INT AS quadrant FROM ({_R}) b, ({_QUAD}) h(k, x, y, w, h) WHERE {_OVER}",
-    "blank_by_hulls": f"""WITH {_A}, s AS (SELECT * FROM r WHERE region_id % 5 = 0), h AS (
+    "blank_by_hulls": f"""WITH {_A}, s AS (SELECT page_id * 16 + y // 500 AS page_id, * EXCLUDE (page_id) FROM r), h AS (
         SELECT page_id, article_id, min(x) AS x, min(y) AS y, max(x + w) - min(x) AS w, max(y + h) - min(y) AS h FROM s WHERE article_id <> 'blank' GROUP BY ALL)
       SELECT b.page_id, b.region_id AS rect_id, CASE count(DISTINCT h.article_id) WHEN 1 THEN min(h.article_id) ELSE 'blank' END AS article_id
       FROM s b LEFT JOIN h ON b.page_id = h.page_id AND {_OVER} WHERE b.article_id = 'blank' GROUP BY b.page_id, b.region_id""",
@@ -118,7 +113,7 @@ SQL = {
       met AS (SELECT DISTINCT r.page_id, region_id, idx FROM r JOIN seg USING (page_id) WHERE greatest(px, qx) > x AND least(px, qx) < x + w AND greatest(py, qy) > y AND least(py, qy) < y + h
         AND NOT (least({_SIDES}) > 0 OR greatest({_SIDES}) < 0))
       SELECT r.page_id, r.region_id, count(idx) AS n FROM r LEFT JOIN met USING (page_id, region_id) GROUP BY ALL""",
-    "ringed_lines": f"""WITH f AS MATERIALIZED ({_L}), l AS (SELECT * FROM f WHERE idx % 3 <> 0), {_DIST}
-      SELECT page_id, idx, 4::BIGINT AS n, f.y - greatest(trunc(0.95::DOUBLE * dist)::BIGINT, 1) AS top FROM f JOIN d USING (page_id, idx)""",
+    "ringed_lines": f"""WITH l AS MATERIALIZED ({_L}), {_DIST}
+      SELECT page_id, idx, 4::BIGINT AS n, y - greatest(trunc(0.95::DOUBLE * dist)::BIGINT, 1) AS top FROM d""",
     "lines_with_distance": f"WITH l AS MATERIALIZED ({_L}), {_DIST} SELECT page_id, count(*) AS n FROM d WHERE dist < 50 GROUP BY page_id",
 }

@@ -65,12 +65,12 @@ def line_boxes(spark, sf_dir):
 
 
 def lone_line_boxes(spark, sf_dir):
-    """Articles' boxes: an article of one line becomes a strip above it."""
-    rows = lines(spark, sf_dir).where("idx % 40 = 0").withColumn("box", C.bounds(F.col("baseline")))
-    counts = rows.groupBy("page_id", "article_id").agg(F.collect_list("idx").alias("ids"))
-    got = R.union_boxes(rows).alias("u").join(counts.alias("c"), (F.col("u.page_id") == F.col("c.page_id")) & F.col("u.article_id").eqNullSafe(F.col("c.article_id")))
+    """Boxes of articles in strips of 100 pixels: one of a single line becomes a strip above it."""
+    rows = lines(spark, sf_dir).withColumn("box", C.bounds(F.col("baseline")))
+    rows = rows.withColumn("article_id", F.concat_ws(":", F.coalesce("article_id", F.lit("-")), F.floor(F.col("box.y") / 100).cast("string")))
+    got = R.union_boxes(rows).join(rows.groupBy("page_id", "article_id").agg(F.collect_list("idx").alias("ids")), ["page_id", "article_id"])
     box = C.lone_line_box(F.col("box"), F.col("ids"), F.lit(None).cast("array<int>"))
-    return _flat(got.select("u.page_id", "u.article_id", box.alias("b")), "b", "page_id", "article_id")
+    return _flat(got.withColumn("b", box), "b", "page_id", "article_id")
 
 
 def article_boxes(spark, sf_dir):
@@ -149,9 +149,10 @@ def unfinished_pages(spark, sf_dir):
 
 
 def zipped_lists(spark, sf_dir):
-    """A list of all pages beside one of every page whose number is below 100: as long as the shorter."""
+    """A list of pages beside a longer one of images: as long as the shorter."""
     a = fixtures.sql(spark, sf_dir, "SELECT page_id AS pos, concat('x', CAST(page_id AS STRING)) AS path FROM pages")
-    return R.zipped_lists(a, a.where("pos < 100").withColumn("path", F.concat(F.lit("i"), "path")))
+    b = fixtures.sql(spark, sf_dir, "SELECT vec_id AS pos, concat('ix', CAST(vec_id AS STRING)) AS path FROM embeddings")
+    return R.zipped_lists(a, b)
 
 
 def scale_factors(spark, sf_dir):
@@ -195,8 +196,8 @@ SQL = {
     "raised_boxes": f"WITH {_DIST} SELECT page_id, idx, x0 AS x, y - dist AS y, x1 - x0 AS w, trunc(1.1::DOUBLE * dist)::BIGINT AS h FROM d",
     "line_boxes": f"""WITH {_POINTS}, q AS (SELECT page_id, idx, x, y FROM p UNION ALL SELECT page_id, idx, x + 1, y - 38 FROM p WHERE article_id = 'a1')
       SELECT page_id, idx, min(x) AS x, min(y) AS y, max(x) - min(x) AS w, max(y) - min(y) AS h FROM q GROUP BY page_id, idx""",
-    "lone_line_boxes": f"""SELECT page_id, article_id, min(x0) AS x, CASE count(*) WHEN 1 THEN min(y) - 10 ELSE min(y) END AS y, max(x1) - min(x0) AS w,
-      CASE count(*) WHEN 1 THEN 10 ELSE max(y) - min(y) END AS h FROM ({_L}) WHERE idx % 40 = 0 GROUP BY page_id, article_id""",
+    "lone_line_boxes": f"""SELECT page_id, concat(coalesce(article_id, '-'), ':', (y // 100)::VARCHAR) AS article_id, min(x0) AS x, CASE count(*) WHEN 1 THEN min(y) - 10 ELSE min(y) END AS y, max(x1) - min(x0) AS w,
+      CASE count(*) WHEN 1 THEN 10 ELSE max(y) - min(y) END AS h FROM ({_L}) GROUP BY ALL""",
     "article_boxes": f"SELECT page_id, article_id, min(x0) AS x, min(y) AS y, max(x1) - min(x0) AS w, max(y) - min(y) AS h FROM ({_L}) GROUP BY page_id, article_id",
     "article_id_sets": f"SELECT page_id, y // 1000 AS strip, string_agg(DISTINCT coalesce(article_id, '-'), ',' ORDER BY coalesce(article_id, '-')) AS ids FROM ({_L}) GROUP BY ALL",
     "rectangles_by_article": f"""WITH s AS (SELECT DISTINCT page_id, y // 100 AS strip, article_id FROM ({_L})), k AS (SELECT *, count(article_id) OVER (PARTITION BY page_id, strip) AS c FROM s)
@@ -219,7 +220,7 @@ SQL = {
     "output_names": _NAMES,
     "channel_names": "SELECT page_id, path FROM (SELECT page_id, concat('x', page_id::VARCHAR) AS s FROM pages), LATERAL (VALUES (concat('gt/C2/', s, '_GT0.png')), (concat('gt/C2/', s, '_GT1.png')), (concat('gt/', s, '.jpg')), (concat('gt/', s, '.jpg.rot'))) v(path)",
     "unfinished_pages": f"WITH w AS ({_NAMES}) SELECT DISTINCT page_id FROM w WHERE NOT (page_id % 2 = 0 AND NOT (page_id % 7 = 0 AND kind = 'grey'))",
-    "zipped_lists": "SELECT page_id AS pos, concat('x', page_id::VARCHAR) AS xml_path, concat('ix', page_id::VARCHAR) AS img_path FROM pages WHERE page_id < 100",
+    "zipped_lists": "SELECT page_id AS pos, concat('x', page_id::VARCHAR) AS xml_path, concat('ix', page_id::VARCHAR) AS img_path FROM pages SEMI JOIN embeddings ON vec_id = page_id",
     "scale_factors": "SELECT vec_id, 1800.0::DOUBLE / (vec_id % 4000 + 500) AS fixed, 0.1::DOUBLE AS at_least, 0.05::DOUBLE AS raw FROM embeddings",
     "progress": "SELECT page_id, row_number() OVER (ORDER BY page_id) AS n FROM pages",
 }
