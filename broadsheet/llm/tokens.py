@@ -15,8 +15,6 @@ import re
 import struct
 from collections.abc import Iterable, Iterator
 
-import numpy as np
-
 #: Characters beyond those of which the classes are settled here.
 NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]")
 LETTER, NUMBER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
@@ -25,10 +23,8 @@ PIECES = {
     "byte": re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+"),
     "word": re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+"),
 }
-#: Entries of the dictionary before it starts anew: about 80 MB.
-KEPT = 400_000
-#: Characters of text taken at a time.
-CHUNK = 1_000_000
+#: Entries of the dictionary before it starts anew: about 200 MB.
+KEPT = 1_000_000
 
 
 def tokenizer_path(name: str) -> str:
@@ -37,62 +33,53 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+class Known(dict):
+    """piece -> its ids as bytes; pieces not met yet are merged when they are asked for."""
+
+    def __init__(self, tokenizer):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        super().__init__()
+        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.letters = {i: as_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(256)}
+        self.merge = tokenizer.model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        if len(self) >= KEPT:
+            self.clear()
+        ids = [t.id for t in self.merge(piece.translate(self.letters))]
+        found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+        return found
+
+
 class Encoder:
     """kind: a key of PIECES. Every text gets the end id."""
 
     def __init__(self, path: str, kind: str, end_id: int):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
-        from tokenizers.pre_tokenizers import ByteLevel
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.end = np.array([end_id], dtype="<u4").tobytes()
+        self.end = struct.pack("<I", end_id)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find, self.fold = PIECES[kind].findall, kind == "word"
-        as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
-        self.letters = {i: as_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(256)}
-        self.known: dict[str, bytes] = {}
+        self.known = Known(self.tokenizer)
 
     def whole(self, text: str) -> bytes:
+        """The tokenizer's own way."""
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
-        return np.array(ids, dtype="<u4").tobytes()
-
-    def _learn(self, pieces: Iterable[str]) -> None:
-        merge, letters, known, pack = self.tokenizer.model.tokenize, self.letters, self.known, struct.pack
-        for piece in pieces:
-            ids = [t.id for t in merge(piece.translate(letters))]
-            known[piece] = pack(f"<{len(ids)}I", *ids)
-
-    def _pieces(self, text: str | None) -> list[str] | None:
-        if not text or NOT_PLAIN.search(text) or any(s in text for s in self.special):
-            return None
-        return self.find(text.lower() if self.fold else text)
-
-    def _chunk(self, texts: list[str | None]) -> Iterator[bytes]:
-        split = [self._pieces(t) for t in texts]
-        need: set[str] = set().union(*[s for s in split if s])
-        new = need.difference(self.known)
-        if new and len(self.known) + len(new) > KEPT:
-            self.known = {}
-            new = need
-        self._learn(new)
-        get = self.known.__getitem__
-        for text, pieces in zip(texts, split):
-            if pieces is None:
-                yield (self.whole(text) if text else b"") + self.end
-            else:
-                yield b"".join(map(get, pieces)) + self.end
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def encode(self, texts: Iterable[str | None]) -> Iterator[bytes]:
         """The ids of each text and the end id, in order."""
-        some, size = [], 0
+        get = self.known.__getitem__
         for text in texts:
-            some.append(text)
-            size += len(text or "")
-            if size > CHUNK:
-                yield from self._chunk(some)
-                some, size = [], 0
-        yield from self._chunk(some)
+            if not text:
+                yield self.end
+            elif NOT_PLAIN.search(text) or any(s in text for s in self.special):
+                yield self.whole(text) + self.end
+            else:
+                yield b"".join(map(get, self.find(text.lower() if self.fold else text))) + self.end
 
 
 @functools.lru_cache(maxsize=2)
