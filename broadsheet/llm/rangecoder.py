@@ -30,13 +30,13 @@ DIGIT, LOW30 = np.uint64(30), np.uint64((1 << 30) - 1)
 SMALL = np.uint64(1 << 30)
 START = np.uint64(1 << 60)
 MOST_TOTAL = 1 << 22
-LANES, STEPS = 4096, 256
+LANES, STEPS = 8192, 128
 #: Ids after which a block closes; a longer document is a block by itself.
 BLOCK_IDS = LANES * STEPS
 
 #: ln(p / (1 - p)) in 1/256 for p in 1/4096, and back to p in 1/65536.
 _P = (np.arange(4096) + 0.5) / 4096
-STRETCH = np.clip(np.rint(np.log(_P / (1 - _P)) * 256), -2047, 2047).astype(np.int64)
+STRETCH = np.clip(np.rint(np.log(_P / (1 - _P)) * 256), -2047, 2047).astype(np.int32)
 SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 32, 65536 - 32).astype(np.int64)
 TABLES = zlib.crc32(STRETCH.astype("<i8").tobytes() + SQUASH.astype("<i8").tobytes())
 
@@ -79,11 +79,12 @@ class Model:
         self.mix2, self.mix1 = Mixer(3, 16), Mixer(2, 16)
 
     def _sum(self) -> None:
-        self.cum = np.concatenate(([0], np.cumsum(self.freq)))
+        self.cum = np.concatenate(([0], np.cumsum(self.freq))).astype(np.int32)
         self.total = int(self.cum[-1])
+        self.known0 = STRETCH[np.minimum((self.freq << 12) // self.total, 4095)].astype(np.int32)
 
     def _known0(self, ids: np.ndarray) -> np.ndarray:
-        return STRETCH[np.minimum((self.freq[ids] << 12) // self.total, 4095)]
+        return self.known0[ids]
 
     def at(self, a: np.ndarray, b: np.ndarray) -> None:
         """Looks up the predictions after ids a, b."""
@@ -106,7 +107,7 @@ class Model:
         return self.q1
 
     def learn(self, ids: np.ndarray, hit2: np.ndarray, on1: np.ndarray, hit1: np.ndarray, rest: np.ndarray) -> None:
-        if self.steps < 32 or self.steps % 4 == 0:  # records and weights settle early: later, a quarter of the steps will do
+        if self.steps < 12 or self.steps % 4 == 0:  # records and weights settle early: later, a quarter of the steps will do
             self.mix2.learn(self.x2, self.c2, self.q2, hit2)
             self.hits2 += np.bincount(self.c2[hit2], minlength=16)
             self.all2 += np.bincount(self.c2, minlength=16)
@@ -269,7 +270,7 @@ def decode(block: bytes) -> np.ndarray:
         missed[on1[hit1]] = False
         on0 = np.flatnonzero(missed)
         r = span[on0] // np.uint64(model.total)
-        s = np.searchsorted(model.cum, np.minimum(value[on0] // r, np.uint64(model.total - 1)).astype(np.int64), side="right") - 1
+        s = np.searchsorted(model.cum, np.minimum(value[on0] // r, np.uint64(model.total - 1)).astype(np.int32), side="right") - 1
         value[on0] -= r * model.cum[s].astype(np.uint64)
         span[on0] = r * model.freq[s].astype(np.uint64)
         settle(on0)
