@@ -88,3 +88,37 @@ def test_stream_of_pages(spark, tmp_path):
     ingest.article_clusters(lines, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination(120)
     got = spark.read.parquet(str(tmp_path / "out"))
     assert got.count() == 2  # the line without a baseline is in no cluster
+
+
+def test_commands(spark, tmp_path):
+    from broadsheet import cli
+
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.xml").write_text(PAGE)
+    for command in ("cluster", "regions", "text", "article-gt", "block-gt"):
+        assert cli.main([command, str(tmp_path / "in"), (tmp_path / command).as_uri()], spark) == 0
+    tagged = X.text_lines(X.read_pages(spark, str(tmp_path / "cluster"))).collect()
+    assert {r["line_id"]: r["article_id"] for r in tagged} == {"l1": "a0", "l2": "a1", "l3": "a2"}
+    ruled = X.text_lines(X.read_pages(spark, str(tmp_path / "regions"))).orderBy("idx").collect()
+    assert [(r["line_id"], r["article_id"]) for r in ruled] == [("l1", "a1"), ("l2", None)]
+    assert (tmp_path / "text" / "a.xml.txt").read_text().startswith("One & two\n\n" + "#" * 100)
+    made = {p.relative_to(tmp_path).as_posix(): png.read_grey(p.read_bytes()) for k in ("article-gt", "block-gt") for p in (tmp_path / k).rglob("*.png")}
+    assert set(made) == {f"article-gt/C3/a_GT{k}.png" for k in range(3)} | {f"block-gt/C2/a_GT{k}.png" for k in range(2)}
+    assert made["block-gt/C2/a_GT0.png"].shape == (600, 800) and made["article-gt/C3/a_GT1.png"].any()
+    (tmp_path / "in" / "b.xml").write_text("nothing")
+    assert cli.main(["text", str(tmp_path / "in"), (tmp_path / "again").as_uri()], spark) == 1
+    with pytest.raises(SystemExit):
+        cli.main(["article-gt", "x", "y", "--convex", "perhaps"], spark)
+
+
+def test_stretched_rectangles(spark):
+    from broadsheet.operators import articles as A
+
+    lines = spark.createDataFrame([(1, 0, [(10, 50), (60, 50)], "a")], "page_id long, idx long, baseline array<struct<x: int, y: int>>, article_id string")
+    ink = np.zeros((100, 100), np.uint8)
+    ink[36:40] = 1
+    table = spark.createDataFrame([(1, 100, 100, bytearray(ink.tobytes()))], "page_id long, h int, w int, data binary")
+    got = A.stretched_rectangles(lines, table)
+    (r,) = got.collect()
+    assert tuple(r["r"]) == (10, 35, 50, 15) and r["line_ids"] == [0]
+    assert len(A.rectangle_outlines(got).first()["points"]) == 4
