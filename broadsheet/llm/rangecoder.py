@@ -81,11 +81,23 @@ class Model:
     def _sum(self) -> None:
         self.cum = np.concatenate(([0], np.cumsum(self.freq))).astype(np.int32)
         self.total = int(self.cum[-1])
+        # ids by bins of the sum: bin k begins in the id that bins[k] ids end before
+        self.shift = max(0, self.total.bit_length() - 16)
+        self.bins = np.cumsum(np.bincount((self.cum[1:] + (1 << self.shift) - 1) >> self.shift, minlength=(self.total >> self.shift) + 2)).astype(np.int32)
         self.known0 = STRETCH[np.minimum((self.freq << 12) // self.total, 4095)].astype(np.int32)
 
     def _known0(self, ids: np.ndarray) -> np.ndarray:
         return self.known0[ids]
 
+    def ids_at(self, target: np.ndarray) -> np.ndarray:
+        """The id in whose part of the sum each target lies."""
+        out = self.bins[target >> self.shift]
+        late = np.flatnonzero(self.cum[out + 1] <= target)
+        while len(late):  # ids that end within the bin, before the target
+            out[late] += 1
+            late = late[self.cum[out[late] + 1] <= target[late]]
+        return out
+
     def at(self, a: np.ndarray, b: np.ndarray) -> None:
         """Looks up the predictions after ids a, b."""
         self.k1 = b & 0xFFFF
@@ -134,15 +146,25 @@ class Model:
 
 
 def _pack30(digits: np.ndarray) -> bytes:
-    bits = np.unpackbits(digits.astype(">u4").view(np.uint8)).reshape(-1, 32)[:, 2:]
-    return np.packbits(bits.ravel()).tobytes()
+    """Digits of 30 bits one after the other: sixteen of them are fifteen words of 32 bits."""
+    n = -(-len(digits) // 16)
+    d = np.zeros((16, n), np.uint64)
+    d.T.flat[: len(digits)] = digits
+    words = np.empty((n, 15), ">u4")
+    for j in range(15):  # word j holds the last 30 - 2j bits of digit j and the first 2 + 2j of the next
+        rest = np.uint64((1 << (30 - 2 * j)) - 1)
+        words[:, j] = ((d[j] & rest) << np.uint64(2 + 2 * j)) | (d[j + 1] >> np.uint64(28 - 2 * j))
+    return words.tobytes()
 
 
 def _unpack30(raw: bytes, n: int) -> np.ndarray:
-    bits = np.unpackbits(np.frombuffer(raw, dtype=np.uint8), count=30 * n).reshape(n, 30)
-    wide = np.zeros((n, 32), dtype=np.uint8)
-    wide[:, 2:] = bits
-    return np.packbits(wide.ravel()).view(">u4").astype(np.uint64)
+    w = np.frombuffer(raw, ">u4").reshape(-1, 15).T.astype(np.uint64)
+    d = np.empty((w.shape[1], 16), np.uint64)
+    d[:, 0] = w[0] >> np.uint64(2)
+    for i in range(1, 15):
+        d[:, i] = ((w[i - 1] & np.uint64((1 << 2 * i) - 1)) << np.uint64(30 - 2 * i)) | (w[i] >> np.uint64(2 + 2 * i))
+    d[:, 15] = w[14] & LOW30
+    return d.ravel()[:n]
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -158,7 +180,7 @@ def encode(ids: np.ndarray, alphabet: int) -> bytes:
     lanes, steps = _shape(n)
     grid = np.zeros(lanes * steps, dtype=np.int64)
     grid[:n] = ids
-    grid = grid.reshape(lanes, steps)
+    grid = grid.reshape(lanes, steps).T.copy()  # a row for each step
     last = n - (lanes - 1) * steps
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, START)
     model, out_lane, out_digit = Model(alphabet), [], []
@@ -182,7 +204,7 @@ def encode(ids: np.ndarray, alphabet: int) -> bytes:
         m = lanes if t < last else lanes - 1
         if not m:
             break
-        x, every = grid[:m, t], np.arange(m)
+        x, every = grid[t, :m], np.arange(m)
         model.at(prev[0][:m], prev[1][:m])
         hit2 = model.p2 == x
         flag(every, model.chance2(), hit2)
@@ -198,14 +220,14 @@ def encode(ids: np.ndarray, alphabet: int) -> bytes:
         span[on0] = r * model.freq[s].astype(np.uint64)
         settle(on0)
         model.learn(x, hit2, on1, hit1, s)
-        prev = [prev[1], grid[:, t]]
+        prev = [prev[1], grid[t]]
     every = np.arange(lanes)
     for _ in range(2):
         out_lane.append(every)
         out_digit.append(low >> DIGIT)
         low = (low & LOW30) << DIGIT
     lane, digit = np.concatenate(out_lane), np.concatenate(out_digit)
-    digit = digit[np.argsort(lane, kind="stable")]
+    digit = digit[np.argsort(lane.astype(np.uint16), kind="stable")]  # a radix sort: LANES is below 65536
     while len(over := np.flatnonzero(digit > LOW30)):
         digit[over] &= LOW30
         digit[over - 1] += np.uint64(1)
@@ -236,7 +258,7 @@ def decode(block: bytes) -> np.ndarray:
     at += 2
     span = np.full(lanes, START)
     model = Model(alphabet)
-    grid = np.zeros((lanes, steps), dtype=np.int64)
+    grid = np.zeros((steps, lanes), dtype=np.int64)
     last = n - (lanes - 1) * steps
 
     def settle(on: np.ndarray) -> None:
@@ -270,15 +292,15 @@ def decode(block: bytes) -> np.ndarray:
         missed[on1[hit1]] = False
         on0 = np.flatnonzero(missed)
         r = span[on0] // np.uint64(model.total)
-        s = np.searchsorted(model.cum, np.minimum(value[on0] // r, np.uint64(model.total - 1)).astype(np.int32), side="right") - 1
+        s = model.ids_at(np.minimum(value[on0] // r, np.uint64(model.total - 1)).astype(np.int32))
         value[on0] -= r * model.cum[s].astype(np.uint64)
         span[on0] = r * model.freq[s].astype(np.uint64)
         settle(on0)
         x[on0] = s
         model.learn(x, hit2, on1, hit1, s)
-        grid[:m, t] = x
-        prev = [prev[1], grid[:, t]]
-    ids = grid.ravel()[:n]
+        grid[t, :m] = x
+        prev = [prev[1], grid[t]]
+    ids = grid.T.ravel()[:n]
     if zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:
         raise ValueError("ids do not match their checksum")
     return ids
