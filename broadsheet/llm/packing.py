@@ -30,8 +30,8 @@ SQL = None
 CAPACITY = 2048
 #: Pieces that a group holds on average.
 GROUP = 20_000
-#: Bins that a group releases for each bin above its bound.
-RELEASE = 24
+#: Bins that a group releases for each bin above its bound; rounds at most; pieces in the largest groups.
+RELEASE, ROUNDS, LARGEST = 24, 8, 2_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -115,7 +115,7 @@ def pack_group(lengths: np.ndarray, capacity: int, release: bool) -> tuple[np.nd
 PACKED = PIECES + ", sequence_id long, offset long, released boolean"
 
 
-def _round(pieces: DataFrame, groups: int, number: int, capacity: int, parts: int) -> DataFrame:
+def _round(pieces: DataFrame, groups: int, number: int, capacity: int, parts: int, release: bool) -> DataFrame:
     """One round: pieces dealt to groups and packed there."""
     dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(number)), F.lit(groups)))
 
@@ -127,7 +127,7 @@ def _round(pieces: DataFrame, groups: int, number: int, capacity: int, parts: in
         group, length = got["_group"].to_numpy(), got["length"].to_numpy()
         edges = np.flatnonzero(np.r_[True, group[1:] != group[:-1], True])
         for a, b in zip(edges[:-1], edges[1:]):
-            bins, offset, freed = pack_group(length[a:b], capacity, groups > 1)
+            bins, offset, freed = pack_group(length[a:b], capacity, release)
             part = got.slice(a, b - a).drop_columns(["_group"])
             part = part.append_column("sequence_id", pa.array(bins + (number << 56) + (int(group[a]) << 24)))
             yield from part.append_column("offset", pa.array(offset)).append_column("released", pa.array(freed)).to_batches()
@@ -146,12 +146,13 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     while count:
         groups = -(-count // group)
-        done = stash(_round(rest, groups, number, capacity, max(parts, groups // 4)), f"packing{number}")
+        release = groups > 1 and number + 1 < ROUNDS
+        done = stash(_round(rest, groups, number, capacity, max(parts, groups // 4), release), f"packing{number}")
         out.append(done.where("not released").drop("released"))
-        rest, left = done.where("released").select(*pieces.columns), number + 1
-        number, before, count = left, count, 0 if groups == 1 else done.where("released").count()
+        rest = done.where("released").select(*pieces.columns)
+        number, before, count = number + 1, count, rest.count() if release else 0
         if count * 2 > before:  # hardly any group met its bound: larger groups next
-            group *= 4
+            group = min(4 * group, LARGEST)
     return functools.reduce(DataFrame.unionByName, out)
 
 
