@@ -57,8 +57,8 @@ def ortho_outlines(spark, sf_dir):
 
 
 def subregions(spark, sf_dir):
-    """Lines of the fixture lie across each other as on no page, so parts stay mixed down to any depth: five levels."""
-    return A.subregions(_ringed(spark, sf_dir), (0, 0, WIDTH, HEIGHT), depth=5)
+    """Down to parts of one article, however deep: lines of the fixture lie across each other as on no page."""
+    return A.subregions(_ringed(spark, sf_dir), (0, 0, WIDTH, HEIGHT))
 
 
 def text_regions(spark, sf_dir):

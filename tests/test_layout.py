@@ -15,6 +15,7 @@ from broadsheet.functions import planar as P
 from broadsheet.operators import articles as A
 from broadsheet.operators import clustering as O
 from broadsheet.operators import components, groundtruth, joins, raster, records
+from broadsheet.plans import groundtruth as PG
 
 PTS = "array<struct<x: int, y: int>>"
 
@@ -98,6 +99,28 @@ def test_toy_page_of_three_lines():
     assert all(min(P.overlap(a["box"], b["box"])) <= 0 for k, a in enumerate(parts) for b in parts[:k])
 
 
+def test_subregions_go_down_to_one_article_and_the_height_limit(spark, monkeypatch):
+    ringed = PG._ringed
+    monkeypatch.setattr(PG, "_ringed", lambda spark, sf_dir: ringed(spark, sf_dir).where("page_id = 0"))
+    parts = PG.subregions(spark, "/root/testdata/sf0.001").collect()
+    assert len(parts) > 4**5 and sum(p["r"]["w"] * p["r"]["h"] for p in parts) == PG.WIDTH * PG.HEIGHT
+    assert max(p["r"]["h"] for p in parts) <= PG.HEIGHT // 50
+    assert all(len(p["a_ids"]) <= 1 for p in parts)
+
+
+def test_parts_that_cannot_part_end():
+    box = np.array([(0, 0), (64, 0), (64, 64), (0, 64)])
+    lines = [{"idx": k, "points": box, "surr": None, "article": a} for k, a in enumerate("ab")]
+    boxes = lambda own, *_: [(0, 0, 40, 64)] * len(own)
+    made, A.line_boxes = A.line_boxes, boxes
+    try:
+        parts = A.quadtree((0, 0, 64, 64), lines, 50, 0)
+    finally:
+        A.line_boxes = made
+    assert {len(p["a_ids"]) for p in parts if p["box"][0] < 40} == {2} and sum(p["box"][2] * p["box"][3] for p in parts) == 64 * 64
+    assert len(parts) < 100
+
+
 def test_rectangles_cover_each_line_once_and_lone_lines_are_strips():
     rng = random.Random(5)
     lines = [{"idx": k, "points": np.array([(x := 600 * (k % 3), y := rng.randint(0, 3000)), (x + 500, y)]), "surr": None, "article": rng.choice([None, "a", "b"])} for k in range(90)]
