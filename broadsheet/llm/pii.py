@@ -7,8 +7,8 @@ It is trained on the driver from labelled_table(), a few hundred sentences built
 from the forms in FORMS; decoding runs in numpy, step by step over all lines of a batch at once.
 A word's share of the scores is computed once for each distinct word of a worker.
 
-Spans of the field that touch a base span are dropped; base spans stay. Lines longer than
-STEPS words are labelled in runs of STEPS words.
+Spans of the field that touch a base span are dropped; base spans stay. Lines are decoded whole:
+those longer than STEPS words by themselves, with back pointers held for RUN words at a time.
 
 Defined results: null or empty text: no spans; equal spans of several kinds: in the order of KINDS;
 repeated rows: each by itself; null doc_id: kept as it is; an empty table: no rows. Other columns
@@ -42,7 +42,8 @@ PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]")
 
 LABELS = ("O", "email", "phone", "secret")
-STEPS = 256
+#: Words above which a line is decoded by itself, and words whose back pointers it holds at a time.
+STEPS, RUN = 256, 1 << 15
 BUCKETS = 1 << 14
 #: Distinct words that a worker remembers.
 KEPT = 300_000
@@ -310,6 +311,40 @@ def viterbi(emit: np.ndarray, pairs: np.ndarray, lengths: np.ndarray) -> np.ndar
     return out
 
 
+def viterbi_long(emit, n: int, pairs: np.ndarray, step: int) -> np.ndarray:
+    """The likeliest labels of one line of n words; emit(a, b) gives the scores of words a to b.
+
+    The first pass keeps the score before each run of `step` words; back pointers are made run by run, from the last.
+    """
+    score = emit(0, 1)[0].tolist()
+    into = pairs.T.tolist()
+
+    def run(score, a, b, back=None):
+        for e in emit(a, b).tolist():
+            ways = [[s + w for s, w in zip(score, column)] for column in into]
+            best = [max(way) for way in ways]
+            if back is not None:
+                back.append([way.index(m) for way, m in zip(ways, best)])
+            score = [m + x for m, x in zip(best, e)]
+        return score
+
+    starts = range(1, n, step)
+    held = [score]
+    for a in starts[:-1]:
+        held.append(run(held[-1], a, a + step))
+    out = np.zeros(n, dtype=np.int8)
+    now = None
+    for a, before in zip(reversed(starts), reversed(held)):
+        back: list[list[int]] = []
+        end = run(before, a, min(n, a + step), back)
+        now = end.index(max(end)) if now is None else now
+        for k in range(len(back) - 1, -1, -1):
+            out[a + k] = now
+            now = back[k][now]
+    out[0] = score.index(max(score)) if now is None else now
+    return out
+
+
 class Tagger:
     """Spans of the field in many texts; remembers the scores of words."""
 
@@ -336,7 +371,7 @@ class Tagger:
         return [np.fromiter(map(get, line), dtype=np.int32, count=len(line)) for line in lines]
 
     def labels(self, lines: list[list[str]]) -> list[np.ndarray]:
-        """The label of each word of lines of at most STEPS words."""
+        """The label of each word of each line."""
         out: list = [None] * len(lines)
         order = sorted(range(len(lines)), key=lambda i: -len(lines[i]))
         ids = self._ids(lines)
@@ -344,6 +379,11 @@ class Tagger:
         at = 0
         while at < len(order):
             width = len(lines[order[at]])
+            if width > STEPS:
+                long = ids[order[at]]
+                out[order[at]] = viterbi_long(lambda a, b, long=long: self._scores(long, a, b), width, pairs, RUN)
+                at += 1
+                continue
             some = order[at : at + max(64, 200_000 // max(1, width))]
             some = [i for i in some if len(lines[i]) * 2 >= width or width <= 4] or some[:1]
             at += len(some)
@@ -358,14 +398,17 @@ class Tagger:
                     out[i] = np.zeros(0, dtype=np.int8)
         return out
 
+    def _scores(self, ids: np.ndarray, a: int, b: int) -> np.ndarray:
+        """Scores of words a to b of a line, with their neighbours' shares."""
+        return _emissions(self.rows, ids[None, max(0, a - 1) : b + 1])[0, min(a, 1) :][: b - a]
+
     def spans(self, texts: list[str | None]) -> list[list[tuple[int, int, int]]]:
         """(start, kind, end) of each text, ascending."""
         lines, owner = [], []
         for k, text in enumerate(texts):
             for line in (text or "").split("\n"):
-                found = line.split()
-                for a in range(0, len(found), STEPS):
-                    lines.append(found[a : a + STEPS])
+                if found := line.split():
+                    lines.append(found)
                     owner.append(k)
         marked: dict[int, list[np.ndarray]] = {}
         got = self.labels(lines) if lines else []

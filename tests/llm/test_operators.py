@@ -454,6 +454,22 @@ def test_viterbi_is_the_best_path():
         assert tuple(g[:n]) == best
 
 
+def test_long_lines_are_decoded_whole():
+    rng = np.random.default_rng(6)
+    for n in (1, 2, 5, 8, 9, 10, 40):
+        pairs, emit = rng.normal(size=(4, 4)), rng.normal(size=(1, n, 4))
+        want = pii.viterbi(emit, pairs, np.array([n]))[0]
+        assert pii.viterbi_long(lambda a, b: emit[0, a:b], n, pairs, 4).tolist() == want.tolist()
+    tagger = pii.Tagger(pii.default_field())
+    said = " and so on ".join(" ".join(w) for w, labels in pii.labelled_table(2, seed=4711)[:12])
+    n_said = len(said.split())
+    short = pii.all_spans(tagger, ["word " * 20 + said])[0][1]
+    assert len({k for _, k, _ in short}) >= 3
+    for n in range(256 - n_said, 256):
+        got = pii.all_spans(tagger, ["word " * n + said])[0][1]
+        assert got == [(a + 5 * (n - 20), k, b + 5 * (n - 20)) for a, k, b in short]
+
+
 def test_pii(spark, docs, rows, empty):
     secret = 'x\ntoken = "cb1a9fee807a05366fcb8b6c95c7c565ede51a72"### mail me@x.org or 10.0.0.300 and 10.0.0.3'
     table = docs.select("doc_id", "text").union(spark.createDataFrame([(77, secret)], "doc_id long, text string"))
