@@ -374,6 +374,17 @@ def test_pages(spark):
     assert pages.extract(table.limit(0), 4).count() == 0
 
 
+def test_pages_copies_are_no_template(spark):
+    same = "<p>Share this</p><p>an article at two addresses</p><p>Legal</p>"
+    raw = [
+        (1, "http://h.org/a", "<p>Share this</p><p>something else</p><p>Legal</p>"), (2, "http://h.org/b1", same), (3, "http://h.org/b1/print", same), (4, "http://h.org/b1/print", same),
+        (5, "http://i.org/a", same), (6, "http://i.org/b", same), (7, "http://j.org/", "<main class='has-sidebar'><article class='post comments-open'><p>text</p></article></main>"),
+    ]
+    got = {r["page_id"]: r["text"] for r in pages.extract(spark.createDataFrame(raw, "page_id long, url string, html string"), 1).collect()}
+    article = "an article at two addresses"
+    assert got == {1: "something else", 2: article, 3: article, 4: article} | dict.fromkeys((5, 6), f"Share this\n{article}\nLegal") | {7: "text"}
+
+
 def test_common_lines_is_longest():
     rng = random.Random(2)
     for _ in range(500):
