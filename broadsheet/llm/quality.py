@@ -1,20 +1,25 @@
 """Quality rules whose cutoffs come from the corpus itself; DataFrame functions only.
 
 Each document is measured in one row expression (no explode, no shuffle of words). Quantile
-sketches, one set for each language and source, merge from all tasks and give quartiles of each
-measure over the documents that pass the base rules; a document is dropped where a measure lies
-outside the quartiles by more than `reach` times their distance plus a slack that belongs to the
-measure. Sketches are percentile_approx buffers: partial ones meet before and after one shuffle
-of a row for each group and task, so a hot source is no hot task.
+sketches merge from all tasks, for each language and source, each language, and the whole corpus, and give the
+median and an outer quantile of each measure over the documents that pass the base rules. A cutoff lies `reach`
+times as far from the median as the outer quantile does, on its own side; a document is dropped where a
+measure lies beyond. No constant is added, so a cutoff follows its group alone. A group of under LEAST_ROWS
+documents takes the cutoffs of its language, and such a language those of the corpus.
+
+Counted measures leave one event out (a symbol, a repeated line, a repeated window), as a share cannot be told from
+zero by one. Sketches are percentile_approx buffers: partial ones meet before and after one shuffle
+of three rows for each group and task, so a hot source is no hot task.
 
 Defined results: null or blank text: no words, so base_failed; null language or source: a group
 like any other; equal rows: each measured; null doc_id: kept as it is; an empty table: no rows.
-Columns of the input that bear the names of the added ones are replaced.
+keep_good returns the columns of its input as they came, whatever their names; measured and judged replace columns
+that bear the names of the added ones.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import stash, table
@@ -23,15 +28,15 @@ NAME = "op9_quality"
 SPACE = " \t\n\x0b\x0c\r"
 WINDOW, LEAST_WORDS = 8, 20
 #: Rank error of a sketch is at most 1 / ACCURACY of its rows.
-ACCURACY = 2000
-#: Multiple of the distance between the quartiles that a measure may leave them by.
-REACH = 4.0
-#: measure: (slack below, slack above); None where that side is no rule.
+ACCURACY = 10_000
+#: Documents that a group's own sketch needs; smaller ones take those of the language, then of the corpus.
+LEAST_ROWS = 100
+#: measure: outer quantile below (None: no rule), outer quantile above, reach, words that one event covers.
 RULES = {
-    "mean_word": (2.0, 4.0),
-    "symbols_per_word": (None, 0.5),
-    "dup_line_share": (None, 0.35),
-    "repeat_share": (None, 0.2),
+    "mean_word": (0.1, 0.9, 5.0, 0),
+    "symbols_per_word": (None, 0.9, 2.0, 1),
+    "dup_line_share": (None, 0.99, 2.0, 8),
+    "repeat_share": (None, 0.99, 2.0, 2 * WINDOW),
 }
 
 
@@ -41,9 +46,10 @@ def let(value: Column, body) -> Column:
 
 
 def _hashes(words: Column) -> Column:
-    """A 64-bit hash of each window; two windows of one text that differ share one with probability 2^-64."""
-    starts = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
-    return F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    """A 64-bit hash of each window, from hashes of its words; two windows of one text that differ share one with a
+    probability near 2^-64."""
+    starts = F.sequence(F.lit(0), F.size(words) - WINDOW)
+    return let(F.transform(words, lambda w: F.xxhash64(w)), lambda h: F.transform(starts, lambda i: F.xxhash64(*[F.get(h, i + k) for k in range(WINDOW)])))
 
 
 def _covered(hashes: Column) -> Column:
@@ -74,55 +80,66 @@ def measured(docs: DataFrame) -> DataFrame:
     bare = F.translate(text, SPACE, "")
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACE, "") != "")
     words = let(F.trim(text, F.lit(SPACE)), lambda t: F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, r"[\x20\x09-\x0D]+")))
-    out = docs.withColumn("_words", let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r"))))
-    out = out.withColumns({
-        "n_words": F.col("_words")["n"],
+    held = let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), _repeat_words(w).alias("r")))
+    free = next(n for n in (f"_words{k}" for k in range(len(docs.columns) + 1)) if n not in docs.columns)
+    out = docs.withColumn(free, held).withColumns({
+        "n_words": F.col(free)["n"],
         "word_chars": F.length(bare).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": F.col("_words")["r"],
-    }).drop("_words")
+        "n_repeat_words": F.col(free)["r"],
+    }).drop(free)
     return out.withColumn("base_failed", (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words")))
 
 
-def _measures() -> dict[str, Column]:
+def _measures(events: bool) -> dict[str, Column]:
+    """The measures; with events, less one event each."""
     n = F.nullif(F.col("n_words"), F.lit(0))
-    return {
-        "mean_word": F.col("word_chars") / n,
-        "symbols_per_word": F.col("n_symbols") / n,
-        "dup_line_share": F.col("n_dup_lines") * F.lit(8.0) / n,
-        "repeat_share": F.col("n_repeat_words") / n,
-    }
-
-
-def thresholds(rows: DataFrame, reach: float = REACH) -> DataFrame:
-    """lang, source and the lower and upper bound of each measure; one row for each language and source."""
-    quartiles = [F.percentile_approx(c, [0.25, 0.75], ACCURACY).alias(m) for m, c in _measures().items()]
-    by = rows.where(~F.col("base_failed")).groupBy("lang", "source").agg(*quartiles)
-    bounds = []
-    for m, (below, above) in RULES.items():
-        low, high = F.get(m, F.lit(0)), F.get(m, F.lit(1))
+    share = {"symbols_per_word": F.col("n_symbols"), "dup_line_share": F.col("n_dup_lines") * 8, "repeat_share": F.col("n_repeat_words")}
+    return {"mean_word": F.col("word_chars") / n} | {m: (c - (RULES[m][3] if events else 0)) / n for m, c in share.items()}
+
+
+def _bounds(rules: dict) -> list[Column]:
+    """low and high of each measure from its quantiles."""
+    out = []
+    for m, (below, above, reach, _) in rules.items():
+        outer, middle = F.get(m, F.lit(0)), F.get(m, F.lit(1))
         if below is not None:
-            bounds.append((low - reach * (high - low) - below).alias(f"_{m}_low"))
-        bounds.append((high + reach * (high - low) + above).alias(f"_{m}_high"))
-    return by.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), *bounds)
+            out.append((middle - reach * (middle - outer)).alias(f"_{m}_low"))
+        out.append((middle + reach * (F.get(m, F.lit(2)) - middle)).alias(f"_{m}_high"))
+    return out
+
+
+def thresholds(rows: DataFrame, rules: dict = RULES, least: int = LEAST_ROWS) -> DataFrame:
+    """_lang, _source and the bounds of each measure; one row for each language and source."""
+    sketches = [F.percentile_approx(c, [rules[m][0] or 0.5, 0.5, rules[m][1]], ACCURACY).alias(m) for m, c in _measures(False).items()]
+    by = rows.where(~F.col("base_failed")).rollup("lang", "source").agg(F.count("*").alias("n"), F.grouping_id().alias("level"), *sketches)
+    by = by.select("lang", "source", "level", F.struct("n", F.struct(*_bounds(rules)).alias("b")).alias("own"))
+    # windows over sketches: a row for each group, language, and the corpus
+    above = {k: F.max(F.when(F.col("level") == k, F.col("own"))).over(w) for k, w in ((1, Window.partitionBy("lang")), (3, Window.partitionBy(F.lit(1))))}
+    by = by.withColumns({"of_lang": above[1], "of_all": above[3]}).where("level = 0")
+    used = F.when(F.col("own.n") >= least, F.col("own.b")).when(F.col("of_lang.n") >= least, F.col("of_lang.b")).otherwise(F.col("of_all.b"))
+    return by.select(F.col("lang").alias("_lang"), F.col("source").alias("_source"), used.alias("_bounds")).select("_lang", "_source", "_bounds.*")
 
 
-def judged(rows: DataFrame, reach: float = REACH) -> DataFrame:
+def judged(rows: DataFrame, rules: dict = RULES, least: int = LEAST_ROWS) -> DataFrame:
     """measured() rows with kept. The join side has a row for each group; its size decides how it is joined."""
-    bounds = thresholds(rows, reach)
-    met = rows.join(bounds, rows["lang"].eqNullSafe(bounds["_lang"]) & rows["source"].eqNullSafe(bounds["_source"]), "left")
+    rows = rows.drop("kept")
+    bounds = thresholds(rows, rules, least).alias("_b")
+    met = rows.alias("_r").join(bounds, F.col("_r.lang").eqNullSafe(F.col("_b._lang")) & F.col("_r.source").eqNullSafe(F.col("_b._source")), "left")
+    n = F.nullif(F.col("_r.n_words"), F.lit(0))
     fits = F.lit(True)
-    for m, c in _measures().items():
-        if RULES[m][0] is not None:
-            fits = fits & (c >= F.col(f"_{m}_low"))
-        fits = fits & (c <= F.col(f"_{m}_high"))
-    return met.withColumn("kept", ~F.col("base_failed") & F.coalesce(fits, F.lit(False))).drop(*bounds.columns)
+    for m, c in _measures(True).items():
+        if rules[m][0] is not None:
+            fits = fits & (c >= F.col(f"_b._{m}_low"))
+        fits = fits & (c <= F.col(f"_b._{m}_high"))
+    return met.select("_r.*", (~F.col("base_failed") & n.isNotNull() & F.coalesce(fits, F.lit(False))).alias("kept"))
 
 
-def keep_good(docs: DataFrame, reach: float = REACH) -> DataFrame:
-    """The rows of docs that the rules keep, with their columns."""
-    return judged(measured(docs), reach).where("kept").select(*docs.columns)
+def keep_good(docs: DataFrame, rules: dict = RULES, least: int = LEAST_ROWS) -> DataFrame:
+    """The rows of docs that the rules keep, with their columns as they came."""
+    whole = docs.select(F.struct(*docs.columns).alias("whole"), "lang", "source", "text")
+    return judged(measured(whole), rules, least).where("kept").select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -132,7 +149,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged(rows).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-#: Nearest-rank quartiles, which the sketches give exactly for groups as small as those of the oracle's tables.
+#: Nearest-rank quantiles, which the sketches give exactly for groups as small as those of the oracle's tables.
 SQL = r"""
 WITH docs AS (SELECT *, row_number() OVER () AS rid, coalesce(text, '') AS t FROM documents),
 worded AS (SELECT rid, doc_id, lang, source, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS w FROM docs),
@@ -153,15 +170,19 @@ b AS (
     n_dup_lines * 8.0::DOUBLE / nullif(n_words, 0) AS m3, n_repeat_words / nullif(n_words, 0)::DOUBLE AS m4
   FROM m),
 q AS (
-  SELECT lang, source, list_sort(list(m1)) AS l1, list_sort(list(m2)) AS l2, list_sort(list(m3)) AS l3, list_sort(list(m4)) AS l4,
-    ceil(0.25 * count(*))::INT AS a, ceil(0.75 * count(*))::INT AS z
-  FROM b WHERE NOT base_failed GROUP BY lang, source),
+  SELECT lang, source, grouping(lang, source) AS level, count(*) AS n, ceil(0.1::DOUBLE * count(*))::INT AS p10, ceil(0.5::DOUBLE * count(*))::INT AS p50,
+    ceil(0.9::DOUBLE * count(*))::INT AS p90, ceil(0.99::DOUBLE * count(*))::INT AS p99,
+    list_sort(list(m1)) AS l1, list_sort(list(m2)) AS l2, list_sort(list(m3)) AS l3, list_sort(list(m4)) AS l4
+  FROM b WHERE NOT base_failed GROUP BY ROLLUP (lang, source)),
 t AS (
-  SELECT lang, source, l1[a] - 4.0::DOUBLE * (l1[z] - l1[a]) - 2.0::DOUBLE AS lo1, l1[z] + 4.0::DOUBLE * (l1[z] - l1[a]) + 4.0::DOUBLE AS hi1,
-    l2[z] + 4.0::DOUBLE * (l2[z] - l2[a]) + 0.5::DOUBLE AS hi2, l3[z] + 4.0::DOUBLE * (l3[z] - l3[a]) + 0.35::DOUBLE AS hi3,
-    l4[z] + 4.0::DOUBLE * (l4[z] - l4[a]) + 0.2::DOUBLE AS hi4
-  FROM q)
+  SELECT lang, source, level, n, l1[p50] - 5.0::DOUBLE * (l1[p50] - l1[p10]) AS lo1, l1[p50] + 5.0::DOUBLE * (l1[p90] - l1[p50]) AS hi1,
+    l2[p50] + 2.0::DOUBLE * (l2[p90] - l2[p50]) AS hi2, l3[p50] + 2.0::DOUBLE * (l3[p99] - l3[p50]) AS hi3, l4[p50] + 2.0::DOUBLE * (l4[p99] - l4[p50]) AS hi4
+  FROM q),
+u AS (
+  SELECT g.lang, g.source, CASE WHEN g.n >= 100 THEN g.lo1 WHEN l.n >= 100 THEN l.lo1 ELSE a.lo1 END AS lo1, CASE WHEN g.n >= 100 THEN g.hi1 WHEN l.n >= 100 THEN l.hi1 ELSE a.hi1 END AS hi1, CASE WHEN g.n >= 100 THEN g.hi2 WHEN l.n >= 100 THEN l.hi2 ELSE a.hi2 END AS hi2, CASE WHEN g.n >= 100 THEN g.hi3 WHEN l.n >= 100 THEN l.hi3 ELSE a.hi3 END AS hi3, CASE WHEN g.n >= 100 THEN g.hi4 WHEN l.n >= 100 THEN l.hi4 ELSE a.hi4 END AS hi4
+  FROM (FROM t WHERE level = 0) g JOIN (FROM t WHERE level = 1) l ON g.lang IS NOT DISTINCT FROM l.lang CROSS JOIN (FROM t WHERE level = 3) a)
 SELECT b.doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  NOT base_failed AND coalesce(m1 >= lo1 AND m1 <= hi1 AND m2 <= hi2 AND m3 <= hi3 AND m4 <= hi4, false) AS kept
-FROM b LEFT JOIN t ON b.lang IS NOT DISTINCT FROM t.lang AND b.source IS NOT DISTINCT FROM t.source
+  NOT base_failed AND coalesce(m1 >= lo1 AND m1 <= hi1 AND (n_symbols - 1) / n_words::DOUBLE <= hi2
+    AND (n_dup_lines * 8 - 8) / n_words::DOUBLE <= hi3 AND (n_repeat_words - 16) / n_words::DOUBLE <= hi4, false) AS kept
+FROM b LEFT JOIN u t ON b.lang IS NOT DISTINCT FROM t.lang AND b.source IS NOT DISTINCT FROM t.source
 """

@@ -424,6 +424,26 @@ def test_quality_drops_what_stands_out(spark):
     assert {r["doc_id"] for r in quality.keep_good(table).collect()} == set(range(40))
 
 
+def test_quality_cutoffs_follow_their_group(spark):
+    """Symbols are common in one source and rare in the others; a source of a few rows takes its language's cutoffs."""
+    rng = random.Random(3)
+    rows = []
+    for lang, source, n, marks in (("en", "code", 150, 30), ("en", "news", 150, 0), ("en", "few", 5, 0), ("de", "news", 20, 0), (None, None, 120, 4)):
+        for _ in range(n):
+            text = _words(len(rows), 100) + " |" * rng.randint(0, marks)
+            rows.append((len(rows), text, lang, source, 1, "mine"))
+    schema = "doc_id long, text string, lang string, source string, kept int, _words string"
+    table = spark.createDataFrame(rows + [(9999, _words(1, 100) + " |" * 60, "en", "few", 0, "m"), (9998, _words(2, 100) + " |" * 28, "en", "news", 0, "m"), (9997, _words(3, 100) + " |" * 28, "en", "code", 0, "m")], schema)
+    cuts = {(r["_lang"], r["_source"]): r["_symbols_per_word_high"] for r in quality.thresholds(quality.measured(table)).collect()}
+    assert cuts["en", "news"] == 0 < cuts[None, None] < cuts["en", "code"]
+    assert cuts["en", "few"] > 0 and cuts["de", "news"] > 0  # of English, and of the corpus
+    kept = quality.keep_good(table)
+    assert kept.columns == table.columns and kept.schema == table.schema
+    got = {r["doc_id"]: r["_words"] for r in kept.collect()}
+    assert 9997 in got and 9998 not in got and got[9997] == "m"
+    assert quality.keep_good(table.limit(0)).count() == 0
+
+
 # ---- personal data --------------------------------------------------------------------------------
 
 
