@@ -24,15 +24,5 @@ def shuffle_parts(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def range_bounds(df: DataFrame, key: str, n: int) -> list:
-    """At most n ascending values of key, the smallest first, that cut the rows into like parts.
-    Reads the key column only; the list grows with the number of partitions, not of rows."""
-    ps = [i / n for i in range(1, n)] or [0.5]
-    row = df.agg(F.min(key).alias("lo"), F.percentile_approx(key, ps, 10_000).alias("ps")).first()
-    if row["lo"] is None:
-        return []
-    return sorted({row["lo"], *(row["ps"] or [])})
-
-
 def column_of(batch: pa.RecordBatch, name: str) -> list:
     return batch.column(batch.schema.get_field_index(name)).to_pylist()

@@ -1,22 +1,25 @@
 """Improbable-feature digests: rare byte windows in chained Bloom filters.
 
-Every 64-byte window of a text has an entropy, whose exact integer form follows from the window
-before it. How rare an entropy is over the whole corpus ranks the windows: the histogram is
-counted over all texts, and the extremes, windows of next to no variety, rank last.
-Among each 64 windows in a row the rarest, first of equals, gets a point; windows with enough points
-are features. Features are hashed into Bloom filters of 2048 bits, five bits each; a filter takes
-PER_FILTER features in text order and then the next is chained to it.
+Every 32-byte window of a text, which zero bytes stand before and after so that each byte is in 32 windows,
+has an entropy, whose exact integer form follows from the window before it. How rare an entropy is over the
+whole corpus ranks the windows: the histogram is counted over all texts, and windows of next to no variety rank last.
+The rarest of each NEAR windows in a row, the first of equals, is a feature. So a text of any
+size has features, about one for 16 bytes, and an edit changes those near it alone. Features are hashed into Bloom
+filters of 2048 bits, five bits each; a filter takes PER_FILTER features in text order and then the next is chained to it.
 
 Likeness of two digests: each filter of the digest with fewer is held against all of the other; the
 overlap of bits beyond chance, as a share of the most there can be, is taken at its best, and
 the mean over filters weighs them by their features.
 
-Texts under SHORT bytes have too few windows; their features are all their 8-byte windows, or the
-text itself. Equal texts have equal digests in one run, since the ranks are the run's own.
+Equal texts have equal digests in one run, since the ranks are the run's own.
+
+Documents are dealt by range of doc_id; an id with more rows than a range should hold, null ones among them, is
+split by ranges of a hash of the text.
 
 Defined results: null text: the empty text, whose digest is empty; two empty digests are alike (1.0), an
-empty and another are not (0.0); the next of a document is by doc_id, null last, then text, and
-the last's next is the first, also of a single row: itself; repeated rows are documents; an empty table: no rows.
+empty and another are not (0.0); the next of a document is by doc_id, null last, then XXH64 of the text, then text, and
+the last's next is the first, also of a single row: itself; repeated rows are documents; texts of one letter have
+the features that they have, if few; long texts are taken in blocks; an empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,28 +31,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_of, range_bounds, shuffle_parts, table
+from .common import column_of, shuffle_parts, table
 
 NAME = "op7_fingerprints"
 SQL = None
-WINDOW, NEAR, POINTS = 64, 64, 16
+WINDOW, NEAR = 32, 32
 BITS, HASHES, PER_FILTER = 2048, 5, 160
-SHORT = 2 * WINDOW
 BINS = 1024
-#: 64 * log2(64) in the integer form of entropy.
+#: WINDOW * log2(WINDOW) in the integer form of entropy.
 SCALE = 1 << 12
 WEIGHT = np.rint(np.arange(WINDOW + 1) * np.log2(np.maximum(np.arange(WINDOW + 1), 1)) * SCALE).astype(np.int32)
 FULL = int(WEIGHT[WINDOW])
-#: Bytes taken at a time.
-CHUNK = 2_000_000
+#: Bytes of texts taken at a time, and windows worked on at a time.
+CHUNK, BLOCK = 2_000_000, 1 << 19
+LAST_ID = (1 << 63) - 1
 
 
 def entropies(x: np.ndarray) -> np.ndarray:
-    """For each 64-byte window of x, its entropy in BINS steps, as uint16.
+    """For each window of x, its entropy in BINS steps, as uint16.
 
-    With c(b) the count of byte b, entropy is log2 64 minus the mean of c log2 c. A step of the
+    With c(b) the count of byte b, entropy is log2 WINDOW minus the mean of c log2 c. A step of the
     window changes two counts; both follow from how often the byte that enters or leaves occurs in
-    the 63 bytes on its side, which 63 comparisons of the text with itself shifted give for all places.
+    the bytes on its side, which WINDOW - 1 comparisons of the text with itself shifted give for all places.
     """
     n = len(x)
     before, after = np.zeros(n, np.uint8), np.zeros(n, np.uint8)
@@ -58,29 +61,32 @@ def entropies(x: np.ndarray) -> np.ndarray:
         before[d:] += same
         after[:-d] += same
     gain = np.diff(WEIGHT)
-    # entering x[i] into the 63 bytes before it, and x[i - 64] leaving the 63 after it
-    delta = gain[before].astype(np.int64)
+    # entering x[i] into the bytes before it, and x[i - WINDOW] leaving those after it
+    delta = gain[before]
     delta[WINDOW:] -= gain[after[:-WINDOW]]
-    total = np.cumsum(delta)[WINDOW - 1 :]
-    return np.minimum((FULL - total) * BINS // FULL, BINS - 1).astype(np.uint16)
+    total = np.cumsum(delta, dtype=np.int32)[WINDOW - 1 :]
+    return np.minimum((FULL - total).astype(np.int64) * BINS // FULL, BINS - 1).astype(np.uint16)
 
 
 def joined_bytes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    return np.frombuffer(b"".join(texts), dtype=np.uint8), np.cumsum(sizes) - sizes
+    """The bytes of texts with zeros before, between and after, and the first window of each text, ascending, and the end.
+    WINDOW - 1 zeros lie between texts, so every window holds bytes of one text alone."""
+    pad = b"\0" * (WINDOW - 1)
+    sizes = np.array([len(t) + WINDOW - 1 for t in texts], dtype=np.int64)
+    return np.frombuffer(pad + b"".join(t + pad for t in texts), dtype=np.uint8), np.concatenate(([0], np.cumsum(sizes)))
 
 
 def entropy_histogram(texts: list[bytes]) -> np.ndarray:
-    """Windows of each entropy, windows across two texts left out."""
-    x, starts = joined_bytes(texts)
-    if len(x) < WINDOW:
-        return np.zeros(BINS, np.int64)
-    owner = np.repeat(np.arange(len(texts), dtype=np.int32), [len(t) for t in texts])
-    return np.bincount(entropies(x)[owner[: 1 - WINDOW] == owner[WINDOW - 1 :]], minlength=BINS)
+    """Windows of each entropy; empty texts have none."""
+    x, _ = joined_bytes([t for t in texts if t])
+    out = np.zeros(BINS, np.int64)
+    for a in range(0, len(x) - WINDOW + 1, BLOCK):
+        out += np.bincount(entropies(x[a : a + BLOCK + WINDOW - 1]), minlength=BINS)
+    return out
 
 
 def ranks(histogram: np.ndarray) -> np.ndarray:
-    """Rank of each entropy, the rarest first; entropies under an eighth of the range, and unseen ones, last."""
+    """Rank of each entropy, the rarest first; entropies under an eighth of the range last."""
     order = np.lexsort((np.arange(BINS), histogram))
     out = np.empty(BINS, np.uint16)
     out[order] = np.arange(BINS)
@@ -103,43 +109,37 @@ def _hashed(windows: np.ndarray) -> np.ndarray:
     return h
 
 
-def _selected(x: np.ndarray, rank: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Starts of the feature windows of texts x[start:end], each of SHORT bytes at least, in one array."""
-    score = rank[entropies(x)]
-    key = (score.astype(np.uint64) << np.uint64(40)) | np.arange(len(score), dtype=np.uint64)
-    low, have = key, 1
-    while have < NEAR:
-        low = np.minimum(low[:-have], low[have:])
-        have *= 2
-    owner = (low & np.uint64((1 << 40) - 1)).astype(np.int64)
-    # runs of NEAR windows that lie in one text
-    whole = np.zeros(len(low) + 1, np.int8)
-    lasts = ends - WINDOW - NEAR + 1
-    whole[starts] += 1
-    np.add.at(whole, lasts + 1, -1)
-    owner = owner[np.cumsum(whole[:-1]) > 0]
-    edge = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))
-    place, points = owner[edge[:-1]], np.diff(edge)
-    return place[(points >= POINTS) & (score[place] < BINS)]
+def _selected(x: np.ndarray, rank: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+    """Ascending starts of the feature windows of texts; text k has the windows firsts[k] to firsts[k + 1]."""
+    n, found = len(x) - WINDOW + 1, []
+    for a in range(0, n, BLOCK):  # runs of NEAR windows that begin in the block
+        score = rank[entropies(x[a : a + BLOCK + NEAR + WINDOW - 2])]
+        low = (score.astype(np.uint32) << np.uint32(20)) | np.arange(len(score), dtype=np.uint32)
+        have = 1
+        while have < NEAR:
+            low = np.minimum(low[:-have], low[have:])
+            have *= 2
+        owner = (low & np.uint32((1 << 20) - 1)).astype(np.int64) + a
+        # runs across two texts count for neither
+        across = firsts[1:-1]
+        across = across[(across > a) & (across < a + len(low) + NEAR)]
+        edge = np.zeros(len(low) + 1, np.int32)
+        np.add.at(edge, np.clip(across - NEAR + 1 - a, 0, len(low)), 1)
+        np.add.at(edge, np.clip(across - a, 0, len(low)), -1)
+        found.append(owner[np.cumsum(edge[:-1]) == 0])
+    return np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
 
 
 def features(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
     """The hashed features of each text, in its order, each once."""
-    out: list = [None] * len(texts)
-    long = [i for i, t in enumerate(texts) if len(t) >= SHORT]
-    if long:
-        x, starts = joined_bytes([texts[i] for i in long])
-        ends = np.append(starts[1:], len(x))
-        place = _selected(x, rank, starts, ends)
-        hashes = _hashed(np.lib.stride_tricks.sliding_window_view(x, WINDOW)[place])
-        cuts = np.searchsorted(place, starts[1:])
-        for i, h in zip(long, np.split(hashes, cuts)):
-            out[i] = h
-    for i, t in enumerate(texts):
-        if out[i] is None or not len(out[i]):
-            raw = np.frombuffer(t if len(t) >= 8 else t.ljust(8, b"\0"), np.uint8)
-            out[i] = _hashed(np.lib.stride_tricks.sliding_window_view(raw, 8)) if t else np.zeros(0, np.uint64)
-    for i, h in enumerate(out):
+    out = [np.zeros(0, np.uint64)] * len(texts)
+    some = [i for i, t in enumerate(texts) if t]
+    if not some:
+        return out
+    x, firsts = joined_bytes([texts[i] for i in some])
+    place = _selected(x, rank, firsts)
+    hashes = _hashed(np.lib.stride_tricks.sliding_window_view(x, WINDOW)[place])
+    for i, h in zip(some, np.split(hashes, np.searchsorted(place, firsts[1:-1]))):
         _, first = np.unique(h, return_index=True)
         out[i] = h[np.sort(first)]
     return out
@@ -207,28 +207,57 @@ def _chunks(texts: list[bytes], size: int = CHUNK):
         yield some
 
 
+class Ranges:
+    """Parts of rows by ascending (id, hash); values of id that ask for several parts are split by ranges of the hash."""
+
+    def __init__(self, cuts: list[int]):
+        """cuts: as many ascending ids as parts, the first the least; an id stands there once for each part it needs."""
+        self.ids, self.parts = np.unique(np.array(cuts, dtype=np.int64), return_counts=True)
+        self.base = np.cumsum(self.parts) - self.parts
+        self.count = int(self.parts.sum())
+
+    def of(self, ids: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+        k = np.maximum(np.searchsorted(self.ids, ids, side="right") - 1, 0)
+        high = ((hashes.view(np.uint64) ^ np.uint64(1 << 63)) >> np.uint64(32)).astype(np.int64)  # as signed hashes sort
+        return self.base[k] + np.where(self.ids[k] == ids, high * self.parts[k] >> 32, self.parts[k] - 1)
+
+
 def in_turn(docs: DataFrame, parts: int) -> DataFrame:
     """Rows dealt to parts by ascending doc_id; the first document of each part goes to the part before it too (ghost)."""
-    rows = docs.select(F.col("doc_id").cast("long"), "text")
-    bounds = np.array(range_bounds(rows, "doc_id", parts), dtype=np.int64)
-    last = max(1, len(bounds)) - 1
+    id_, hash_ = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("id"), F.xxhash64("text").alias("h")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", id_, hash_)
+    found = rows.agg(F.min("id").alias("lo"), F.percentile_approx("id", [i / parts for i in range(1, parts)] or [0.5], 10_000).alias("ps")).first()
+    ranges = Ranges(sorted([found["lo"], *found["ps"]])[:parts] if found["lo"] is not None else [0])
+
+    def numbered(batches):
+        for batch in batches:
+            part = ranges.of(*(batch.column(i).to_numpy() for i in (0, 1)))
+            yield pa.record_batch([pa.array(part.astype(np.int32)), batch.column(0), batch.column(1)], ["part", "id", "h"])
+
+    first = {int(p): (int(i), None) for p, i in zip(ranges.base, ranges.ids)}
+    if ranges.parts.max() > 1:  # the first row of a range of hashes is not known beforehand: a row for each part
+        keys = rows.select("id", "h").mapInArrow(numbered, "part int, id long, h long")
+        first = {r["part"]: tuple(r["k"]) for r in keys.groupBy("part").agg(F.min(F.struct("id", "h")).alias("k")).collect()}
+    full = sorted(first)
+    to_part = {p: full[k - 1] for k, p in enumerate(full)}  # the part before, and the last before the first
 
     def dealt(batches):
         for batch in batches:
-            ids = batch.column(0)
-            known = ids.is_valid().to_numpy(zero_copy_only=False)
-            value = ids.fill_null(0).to_numpy()
-            part = np.where(known, np.searchsorted(bounds, value, side="right") - 1, last)
-            ghosts = np.flatnonzero(known & np.isin(value, bounds))
-            rows_ = pa.concat_arrays([pa.array(np.arange(len(part))), pa.array(ghosts)])
-            got = pa.Table.from_batches([batch]).take(rows_)
-            to = np.concatenate((part, (part[ghosts] - 1) % max(1, len(bounds))))
-            ghost = np.arange(len(to)) >= len(part)
-            got = got.append_column("part", pa.array(to.astype(np.int32))).append_column("ghost", pa.array(ghost))
+            ids, hashes = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("id", "h"))
+            part = ranges.of(ids, hashes)
+            where, to = [np.arange(len(part))], [part]
+            for k in np.flatnonzero(np.isin(ids, [i for i, _ in first.values()])):
+                p = int(part[k])
+                if first[p] in ((ids[k], None), (ids[k], hashes[k])):
+                    where.append([k])
+                    to.append([to_part[p]])
+            where, to = np.concatenate(where), np.concatenate(to)
+            got = pa.Table.from_batches([batch]).take(pa.array(where))
+            got = got.append_column("part", pa.array(to.astype(np.int32))).append_column("ghost", pa.array(np.arange(len(to)) >= len(part)))
             yield from got.to_batches()
 
-    out = rows.mapInArrow(dealt, "doc_id long, text string, part int, ghost boolean")
-    return out.repartitionById(max(1, len(bounds)), F.col("part")).sortWithinPartitions("ghost", F.col("doc_id").asc_nulls_last(), "text")
+    out = rows.mapInArrow(dealt, "doc_id long, text string, id long, h long, part int, ghost boolean")
+    return out.repartitionById(ranges.count, F.col("part")).sortWithinPartitions("ghost", "id", "h", "text")
 
 
 def edited(text: str, following: str) -> str:
@@ -260,21 +289,18 @@ def fingerprints(docs: DataFrame, parts: int | None = None) -> DataFrame:
         return pa.record_batch(columns, ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
     def printed_rows(batches):
-        run, size, first, ended = [], 0, None, False
+        run, size, ended = [], 0, False
         for batch in batches:
             for doc_id, text, ghost in zip(column_of(batch, "doc_id"), column_of(batch, "text"), column_of(batch, "ghost")):
                 if ended:
-                    continue  # equal doc_ids at the start of the next part: the least text follows
+                    continue  # equal ids and hashes at the start of the next part: the least text follows
                 row = (doc_id, text or "")
-                first = first or row
                 run.append(row)
                 size += len(row[1])
                 ended = ghost
                 if size >= CHUNK and len(run) > 1 and not ended:
                     yield rows(run)
                     run, size = run[-1:], len(row[1])
-        if run and not ended:  # no part follows: a table of null doc_ids
-            run.append(first)
         if len(run) > 1:
             yield rows(run)
 

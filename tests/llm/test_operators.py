@@ -316,32 +316,115 @@ def test_toxicity_held_out_and_edges(spark, docs, empty):
 # ---- fingerprints -------------------------------------------------------------------------------
 
 
-def test_fingerprints(docs, rows, empty):
-    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-    got = {(r["doc_id"], r["n_chars"]): r for r in fingerprints.fingerprints(docs, 5).collect()}
+def _brute_features(text, rank):
+    """Hashes of the rarest window of each run, window by window, and the entropy of each window."""
+    w, near = fingerprints.WINDOW, fingerprints.NEAR
+    x = b"\0" * (w - 1) + text + b"\0" * (w - 1)
+    bins = []
+    for i in range(len(x) - w + 1):
+        total = sum(int(fingerprints.WEIGHT[c]) for c in Counter(x[i : i + w]).values())
+        bins.append(min((fingerprints.FULL - total) * fingerprints.BINS // fingerprints.FULL, fingerprints.BINS - 1))
+    picked = {min(range(i, i + near), key=lambda k: (rank[bins[k]], k)) for i in range(len(bins) - near + 1)} if text else set()
+    out = []
+    for k in sorted(picked):
+        h = 0x9E3779B97F4A7C15
+        for j in range(0, w, 8):
+            h = (h * 0x100000001B3 % 2**64) ^ int.from_bytes(x[k + j : k + j + 8], "little")
+            for m in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+                h = (h ^ h >> 33) * m % 2**64
+            h ^= h >> 33
+        if h not in out:
+            out.append(h)
+    return out, bins if text else []
+
+
+def _brute_likeness(a, b):
+    """Of two lists of features."""
+    if not a or not b:
+        return float(not a and not b)
+    n = fingerprints.PER_FILTER
+    cut = lambda f: [f[i : i + n] for i in range(0, len(f), n)]
+    bits = lambda f: {(h >> 11 * k) % fingerprints.BITS for h in f for k in range(fingerprints.HASHES)}
+    one, two = cut(a), cut(b)
+    packed = lambda fs: b"".join(np.packbits(np.isin(np.arange(fingerprints.BITS), sorted(bits(f)))).tobytes() for f in fs)
+    if len(one) > len(two) or (len(one) == len(two) and packed(one) > packed(two)):
+        one, two = two, one
+    total = 0.0
+    for f in one:
+        p = bits(f)
+        best = 0.0
+        for g in two:
+            q = bits(g)
+            chance = len(p) * len(q) / fingerprints.BITS
+            best = max(best, min(1.0, (len(p & q) - chance) / max(1, min(len(p), len(q)) - chance)))
+        total += best * len(f)
+    return total / len(a if one == cut(a) else b)
+
+
+def _brute_fingerprints(rows, parts_of=None):
+    order = sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, r[2], r[1] or ""))
     texts = [r[1] or "" for r in order]
-    same = {}
+    histogram = Counter(b for t in texts for b in _brute_features(t.encode(), [0] * fingerprints.BINS)[1])
+    ranked = sorted(range(fingerprints.BINS), key=lambda k: (histogram[k], k))
+    rank = {b: fingerprints.BINS if b < fingerprints.BINS // 8 else k for k, b in enumerate(ranked)}
+    out = Counter()
     for k, r in enumerate(order):
         t, nxt = texts[k], texts[(k + 1) % len(texts)]
         edited = t[: len(t) - len(t) // 2] + nxt[: len(t) // 2]
-        g = got[r[0], len(t)]
-        if r[0] != 5:
-            assert g["edited_sha256"] == hashlib.sha256(edited.encode()).hexdigest()
-        assert 0 <= g["near_edited"] <= 1 and 0 <= g["near_next"] <= 1
-        assert same.setdefault(t, g["fingerprint"]) == g["fingerprint"]
-    assert got[1, len(rows[0][1])]["near_edited"] > 0.3
+        f, g, h = (_brute_features(x.encode(), rank)[0] for x in (t, edited, nxt))
+        out[r[0], len(t), hashlib.sha256(edited.encode()).hexdigest(), len(f), round(_brute_likeness(f, g), 9), round(_brute_likeness(f, h), 9)] += 1
+    return out
+
+
+def _counted(printed):
+    """Features of a digest as printed."""
+    last, _, filters = printed.partition(":")
+    n = len(filters) // (fingerprints.BITS // 4)
+    return max(0, n - 1) * fingerprints.PER_FILTER + int(last)
+
+
+@pytest.mark.parametrize("kind", ["mixed", "one letter", "null ids", "one id"])
+def test_fingerprints_as_brute_force(spark, monkeypatch, kind):
+    texts = [_words(k, n) for k, n in enumerate((1, 3, 9, 20, 40, 90, 200, 700))] + [None, "", "a", "ab" * 9, "\n" * 70, "é# $ñ" * 30, _words(5, 90), _words(5, 90)]
+    if kind == "one letter":
+        texts = ["x. " * 100, "a" * 500, "plain prose without a window of its own " * 3, "", None]
+    ids = {"null ids": [None] * len(texts), "one id": [7] * len(texts)}.get(kind, [None if k == 3 else k // 2 for k in range(len(texts))])
+    table = spark.createDataFrame([(i, t, "mine", 1) for i, t in zip(ids, texts)], "doc_id long, text string, part string, h int").repartition(3)
+    from pyspark.sql import functions as F
+
+    rows = [tuple(r) for r in table.select("doc_id", "text", F.xxhash64("text")).collect()]
+    got = fingerprints.fingerprints(table, 4).collect()
+    assert Counter((r["doc_id"], r["n_chars"], r["edited_sha256"], _counted(r["fingerprint"]), round(r["near_edited"], 9), round(r["near_next"], 9)) for r in got) == _brute_fingerprints(rows)
+    same = {}
+    for r in got:
+        assert same.setdefault((r["n_chars"], r["fingerprint"]), r["n_chars"]) == r["n_chars"]
+
+
+def test_fingerprints_edges(docs, rows, empty):
+    got = fingerprints.fingerprints(docs, 5).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(r[0] for r in rows)
+    assert all(0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1 for r in got)
+    assert min(r["near_edited"] for r in got if r["n_chars"] >= 128) > 0.2
     assert fingerprints.fingerprints(empty, 3).count() == 0
 
 
-def test_entropy_is_that_of_each_window():
-    rng = np.random.default_rng(3)
-    x = rng.integers(97, 110, 400).astype(np.uint8)
-    x[100:180] = 32
-    got = fingerprints.entropies(x)
-    for i in range(0, len(x) - 63, 7):
-        p = np.bincount(x[i : i + 64]) / 64
-        p = p[p > 0]
-        assert abs(got[i] / 1024 * 6 + (p * np.log2(p)).sum()) < 0.012
+def test_fingerprints_take_long_texts_in_blocks(monkeypatch):
+    texts = [_words(k, n).encode() for k, n in enumerate((30, 1, 400, 5, 60))]
+    rank = fingerprints.ranks(fingerprints.entropy_histogram(texts))
+    whole = fingerprints.features(texts, rank)
+    monkeypatch.setattr(fingerprints, "BLOCK", 97)
+    assert (fingerprints.ranks(fingerprints.entropy_histogram(texts)) == rank).all()
+    for a, b in zip(whole, fingerprints.features(texts, rank)):
+        assert a.tolist() == b.tolist()
+
+
+def test_likeness_does_not_hang_on_size():
+    rng = random.Random(4)
+    text = " ".join("".join(rng.choice("etaoinshrdlu") for _ in range(rng.randint(2, 9))) for _ in range(400)).encode()
+    rank = fingerprints.ranks(fingerprints.entropy_histogram([text]))
+    for a, b in ((100, 110), (127, 129), (127, 200), (128, 140), (127, 256), (500, 1000)):
+        one, two = (fingerprints.digest(f) for f in fingerprints.features([text[:a], text[:b]], rank))
+        assert fingerprints.likeness(one, two) > 0.6
 
 
 def test_likeness():
