@@ -11,7 +11,8 @@ taken, so sources of few or very uneven documents come near their targets too.
 Defined results: null text or no words: size 0, and such rows share their source's rate; null
 source: a source of its own, ordered last; null doc_id: coin of the empty string; repeated rows:
 each row is a document, with the same coin; a source without words: rate 0; an empty table: no
-rows. Columns of the input that bear the names of the added ones are replaced.
+rows. emit_copies returns the columns of its input as they came; mix_sources replaces those that bear the names of
+the added ones.
 """
 
 from __future__ import annotations
@@ -76,6 +77,12 @@ def _rate() -> Column:
     return F.coalesce(F.col("target") / F.nullif(F.col("source_size"), F.lit(0)), F.lit(0.0))
 
 
+def _copies() -> Column:
+    """How often a row beside its source's plan is taken."""
+    turned = coin(0) + F.col("phase") / F.lit(float(PHASES))
+    return (F.floor(_rate()) + F.when(turned - F.floor(turned) < _rate() - F.floor(_rate()), 1).otherwise(0)).cast("long")
+
+
 def mixing_plan(sized: DataFrame, **limits) -> DataFrame:
     """source, source_size, target, phase: one row per source."""
     targets = source_targets(sized.select("doc_id", "source", "size"), **limits)
@@ -97,15 +104,19 @@ def mix_sources(docs: DataFrame, sized: DataFrame | None = None, **limits) -> Da
     sized = with_size(docs) if sized is None else sized
     sized = sized.drop("source_size", "target", "phase", "copies", "taken")
     rows = _joined(sized, mixing_plan(sized, **limits))
-    turned = coin(0) + F.col("phase") / F.lit(float(PHASES))
-    copies = F.floor(_rate()) + F.when(turned - F.floor(turned) < _rate() - F.floor(_rate()), 1).otherwise(0)
-    return rows.withColumn("copies", copies.cast("long")).withColumn("taken", F.col("size") * F.col("copies")).drop("phase")
+    return rows.withColumn("copies", _copies()).withColumn("taken", F.col("size") * F.col("copies")).drop("phase")
 
 
 def emit_copies(docs: DataFrame, **limits) -> DataFrame:
-    """The mix itself: the columns of docs, each row as often as it is taken."""
-    mixed = mix_sources(docs, **limits).where("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+    """The mix itself: the columns of docs as they came, whatever their names, each row as often as it is taken.
+
+    Sizes are counted once, and the plan, a row for each source, is a written table, so Spark knows its size when it
+    joins: texts stay where they are as long as the plan is small enough to be broadcast.
+    """
+    sized = stash(with_size(docs.select("doc_id", "source", "text")).drop("text"), "mixing")
+    plan = stash(mixing_plan(sized, **limits), "mixing-plan")
+    rows = _joined(docs.select(F.struct(*docs.columns).alias("whole"), "doc_id", "source"), plan).withColumn("copies", _copies())
+    return rows.where("copies > 0").select("whole", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("whole.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,9 +3,11 @@
 Pieces of at most `capacity` ids are dealt to groups; each group packs by best-fit decreasing and
 compares its bins with the largest of several dual-feasible-function bounds. A group that meets
 its bound is certified and done. A group with a gap releases its emptiest bins; the released
-pieces of all such groups are dealt to fewer groups, which pack them anew, until one group is
-left. Groups hold a bounded number of pieces whatever the input, and the pieces are a written
-table, so no round tokenises again.
+pieces of all such groups are dealt to fewer groups, which pack them anew, until none are released or one group
+holds them all. Groups hold a bounded number of pieces whatever the input, and the pieces are a written
+table, so no round tokenises again. Rows are dealt by their place, so equal rows spread over all groups.
+Where groups of the largest size release nearly as many pieces as they were given, larger ones would be needed and
+the round after is the last; certificate() gives the bins and the bound of any packing.
 
 Defined results: null or empty text: one piece of one id, the end id; repeated rows and equal
 doc_ids: each row has pieces of its own; ties in length: by doc_id, piece and place; null doc_id:
@@ -30,8 +32,8 @@ SQL = None
 CAPACITY = 2048
 #: Pieces that a group holds on average.
 GROUP = 20_000
-#: Bins that a group releases for each bin above its bound; rounds at most; pieces in the largest groups.
-RELEASE, ROUNDS, LARGEST = 24, 8, 2_000_000
+#: Bins that a group releases for each bin above its bound; pieces in the largest groups, about 400 MB.
+RELEASE, LARGEST = 24, 2_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -117,7 +119,7 @@ PACKED = PIECES + ", sequence_id long, offset long, released boolean"
 
 def _round(pieces: DataFrame, groups: int, number: int, capacity: int, parts: int, release: bool) -> DataFrame:
     """One round: pieces dealt to groups and packed there."""
-    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece", "start", "ids_crc32", F.lit(number)), F.lit(groups)))
+    dealt = pieces.withColumn("_group", F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.lit(number)), F.lit(groups)))
 
     def packed(batches):
         batches = [b for b in batches if b.num_rows]
@@ -141,21 +143,32 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> Dat
     full = pieces.where(F.col("length") >= capacity).withColumns(
         {"sequence_id": F.lit(-1) - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")}
     )
-    rest, number, out = pieces.where(F.col("length") < capacity), 0, [full]
+    rest, number, out, last = pieces.where(F.col("length") < capacity), 0, [full], False
     count = rest.count()
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     while count:
         groups = -(-count // group)
-        release = groups > 1 and number + 1 < ROUNDS
+        release = groups > 1 and not last
         done = stash(_round(rest, groups, number, capacity, max(parts, groups // 4), release), f"packing{number}")
         out.append(done.where("not released").drop("released"))
         rest = done.where("released").select(*pieces.columns)
         number, before, count = number + 1, count, rest.count() if release else 0
+        last = group == LARGEST and count * 10 > before * 9
         if count * 2 > before:  # hardly any group met its bound: larger groups next
-            group = min(4 * group, LARGEST)
+            group = max(group, min(4 * group, LARGEST))
     return functools.reduce(DataFrame.unionByName, out)
 
 
+def certificate(packed: DataFrame, capacity: int = CAPACITY) -> tuple[int, int]:
+    """The sequences of a packing, and a number that no packing of its pieces can fall below."""
+    bins = packed.agg(F.count_distinct("sequence_id")).first()[0]
+    rows = packed.groupBy("length").count().collect()  # a row for each length
+    counts = np.zeros(capacity + 1, dtype=np.int64)
+    for r in rows:
+        counts[r["length"]] = r["count"]
+    return bins, lower_bound(counts, capacity)
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op4: documents in sequences of 2048 ids of the byte-level vocabulary."""
     docs = table(spark, sf_dir, "documents")

@@ -7,8 +7,8 @@ score is logistic in b + sum w_i + the sum over pairs <v_i, v_j>: two terms that
 alone can be toxic together. The pair sum costs no more than the single one.
 
 The machine is fitted on the driver from at most SAMPLE labelled rows (those of least hashed
-doc_id, outside the held-out quarter); of rows that share their least term hashes, as copies do,
-one is used. Scoring runs over every whole text with the fitted table of selected
+doc_id, outside the held-out quarter); of rows with the same whole set of terms and the same label, which only copies
+are, one is used. Where several documents bear a labelled id, the one whose set of terms hashes least counts. Scoring runs over every whole text with the fitted table of selected
 terms, of at most SAMPLE * 8 entries, in the tasks' closure.
 
 Defined results: null, empty or wordless text: the score of the bias alone; no usable labels, or of one
@@ -158,12 +158,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
     bounded = F.broadcast(chosen.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")))  # at most sample rows of 12 bytes
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(bounded, "doc_id")
-    got = rows.mapInArrow(bags, "doc_id long, toxic int, bag binary").collect()
+    # one document for each labelled row, so that what reaches the driver is bounded by the sample
+    bags_ = rows.mapInArrow(bags, "doc_id long, toxic int, bag binary")
+    least = bags_.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("bag"), "bag")).alias("k"))
+    got = least.select("doc_id", "toxic", "k.bag").collect()
     seen, docs_, y = set(), [], []
     for r in sorted(got, key=lambda r: (r["doc_id"], r["toxic"], r["bag"])):
         bag = np.frombuffer(r["bag"], dtype="<i4").astype(np.int64)
-        mixed = np.sort((bag * 0x9E3779B1) & 0xFFFFFFFF)[:2]
-        key = (mixed.tobytes(), r["toxic"])
+        key = (bytes(r["bag"]), r["toxic"])
         if len(bag) and key not in seen:
             seen.add(key)
             docs_.append(bag)

@@ -91,6 +91,15 @@ def test_mixing_targets_and_takes(docs, rows):
     assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs).collect()))
 
 
+def test_mixing_emits_columns_as_they_came(spark, empty):
+    """Names of the columns that the mix adds may be there before."""
+    table = spark.createDataFrame([(k, "a b c " * (k % 5), f"s{k % 3}", "MINE", 777, "own", 3, "x") for k in range(40)], "doc_id long, text string, source string, size string, target int, copies string, phase int, whole string")
+    out = mixing.emit_copies(table)
+    assert out.schema == table.schema
+    assert {tuple(r)[3:] for r in out.collect()} == {("MINE", 777, "own", 3, "x")}
+    assert mixing.emit_copies(empty).columns == empty.columns
+
+
 def test_mixing_emits_copies(docs, empty):
     plan = Counter()
     for r in mixing.mix_sources(docs).collect():
@@ -233,11 +242,20 @@ def test_packing(docs, rows, empty, group):
             assert offset == at
             at += length
         assert at <= 2048
-    total = sum(r["length"] for r in got)
-    assert len(held) <= -(-total // 2048) * 1.1 + 2
+    bins, bound = packing.certificate(packing.pack(packing.token_pieces(docs), group=group))
+    assert bound <= bins <= bound * 1.1 + 2
     assert packing.pack(packing.token_pieces(empty)).count() == 0
 
 
+def test_packing_deals_equal_rows_apart(spark):
+    table = spark.createDataFrame([(None, 0, 0, 1, 0)] * 3000, packing.PIECES).repartition(4)
+    dealt = table.select(packing.F.pmod(packing.F.xxhash64(packing.F.monotonically_increasing_id(), packing.F.lit(0)), packing.F.lit(30)).alias("g"))
+    assert dealt.groupBy("g").count().agg(packing.F.max("count")).first()[0] < 200
+    got = packing.pack(table, capacity=16, group=100)
+    bins, bound = packing.certificate(got, 16)
+    assert got.count() == 3000 and bound == 188 and bins <= 188 + 30  # one part-filled sequence for each group
+
+
 def test_tokens_are_the_tokenizers_own():
     rng = random.Random(5)
     letters = "".join(map(chr, range(1, 256))) + "日本語ﬁx̀İ½"
@@ -313,6 +331,19 @@ def test_toxicity_held_out_and_edges(spark, docs, empty):
     assert toxicity.score(empty, machine).count() == 0
 
 
+def test_toxicity_learns_from_all_but_copies(spark, monkeypatch):
+    """Rows that share their commonest terms are no copies; rows of one id and repeated rows are learnt from once."""
+    texts = [(k, f"the same common words and then number {'abcdefghij'[k % 10] * (k // 10 + 1)}") for k in range(60)]
+    texts += [(100 + k, texts[k][1]) for k in range(10)] + [(5, "another text of the same id")] * 500
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda docs, y: seen.append(len(docs)))
+    labels = spark.createDataFrame([(k, 0) for k, _ in texts], "doc_id long, toxic int")
+    toxicity.train(spark.createDataFrame(texts, "doc_id long, text string"), labels)
+    used = {k for k, _ in texts if zlib.crc32(str(k).encode()) % 4 != 2}
+    text = dict(reversed(texts))
+    assert abs(seen[0] - len({text[k] for k in used})) <= 1
+
+
 # ---- fingerprints -------------------------------------------------------------------------------
 
 
