@@ -24,7 +24,7 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"BCM1"
+MAGIC = b"BCM2"
 HEADER = struct.Struct("<4sIIIIIIII")
 DIGIT, LOW30 = np.uint64(30), np.uint64((1 << 30) - 1)
 SMALL = np.uint64(1 << 30)
@@ -37,29 +37,45 @@ BLOCK_IDS = LANES * STEPS
 #: ln(p / (1 - p)) in 1/256 for p in 1/4096, and back to p in 1/65536.
 _P = (np.arange(4096) + 0.5) / 4096
 STRETCH = np.clip(np.rint(np.log(_P / (1 - _P)) * 256), -2047, 2047).astype(np.int32)
-SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 32, 65536 - 32).astype(np.int64)
+SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 32, 65536 - 32).astype(np.uint64)
 TABLES = zlib.crc32(STRETCH.astype("<i8").tobytes() + SQUASH.astype("<i8").tobytes())
 
 
+#: The next confidence after a miss (0 to 15), and after a hit (16 to 31).
+MORE = np.array([c >> 1 for c in range(16)] + [min(c + 1, 15) for c in range(16)], dtype=np.int8)
+
+
 class Mixer:
-    """Chances from several stretched inputs; one set of weights for each confidence."""
-
-    def __init__(self, inputs: int, sets: int):
-        self.w = np.full((inputs, sets), 65536 // inputs + 8192, dtype=np.int64)
-
-    def mix(self, xs: list[np.ndarray], s: np.ndarray) -> np.ndarray:
-        dot = self.w[0][s] * xs[0]
-        for w, x in zip(self.w[1:], xs[1:]):
-            dot += w[s] * x
-        return SQUASH[np.clip(dot >> 16, -2047, 2047) + 2047]
-
-    def learn(self, xs: list[np.ndarray], s: np.ndarray, p: np.ndarray, hit: np.ndarray) -> None:
-        err = (hit.astype(np.int64) << 16) - p
-        n = np.bincount(s, minlength=self.w.shape[1]).astype(np.int64)
-        n = np.maximum(n, 1)
-        for w, x in zip(self.w, xs):
-            w += (np.bincount(s, err * x, len(n)).astype(np.int64) // n) >> 9
+    """Chances from three stretched inputs with a set of weights for each confidence c: two inputs that hang on
+    classes alone (c, and a joint class c * others + s), and one of its own for each decision. So weights and class inputs
+    meet in tables, and a step costs three look-ups for each decision and three sums to learn."""
+
+    def __init__(self, others: int):
+        self.others = others
+        self.w = np.full((3, 16), 65536 // 3 + 8192, dtype=np.int64)
+        self.hits, self.all = np.ones((16, others), dtype=np.int64), np.full((16, others), 2, dtype=np.int64)
+
+    def mix(self, joint: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The chance of a hit, in 1/65536; own is the third input."""
+        self.by_c = STRETCH[(self.hits.sum(1) << 12) // self.all.sum(1)].astype(np.int64)
+        self.by_s = STRETCH[(self.hits.sum(0) << 12) // self.all.sum(0)].astype(np.int64)
+        known = (self.w[0] * self.by_c)[:, None] + self.w[1][:, None] * self.by_s
+        weight = np.repeat(self.w[2], self.others).astype(np.int32)
+        dot = known.ravel().astype(np.int32)[joint] + weight[joint] * own
+        self.p = SQUASH[np.clip(dot >> 16, -2047, 2047) + 2047]
+        return self.p
+
+    def learn(self, joint: np.ndarray, own: np.ndarray, hit: np.ndarray) -> None:
+        err = hit * 65536.0 - self.p
+        shape = self.hits.shape
+        n = np.bincount(joint, minlength=self.hits.size).reshape(shape)
+        of = np.bincount(joint, err, self.hits.size).astype(np.int64).reshape(shape)
+        mine = np.bincount(joint, err * own, self.hits.size).astype(np.int64).reshape(shape).sum(1)
+        each = np.maximum(n.sum(1), 1)
+        self.w += np.stack([of.sum(1) * self.by_c, of @ self.by_s, mine]) // each >> 9
         np.clip(self.w, -(1 << 18), 1 << 18, out=self.w)
+        self.hits += np.bincount(joint[hit], minlength=self.hits.size).reshape(shape)
+        self.all += n
 
 
 class Model:
@@ -73,10 +89,7 @@ class Model:
         self._sum()
         self.next1, self.sure1 = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int8)
         self.next2, self.sure2 = np.zeros(1 << 18, dtype=np.int32), np.zeros(1 << 18, dtype=np.int8)
-        self.hits2, self.all2 = np.ones(16, dtype=np.int64), np.full(16, 2, dtype=np.int64)
-        self.hits1, self.all1 = np.ones(16, dtype=np.int64), np.full(16, 2, dtype=np.int64)
-        self.agree, self.agree_all = np.ones(32, dtype=np.int64), np.full(32, 2, dtype=np.int64)
-        self.mix2, self.mix1 = Mixer(3, 16), Mixer(2, 16)
+        self.mix2, self.mix1 = Mixer(32), Mixer(1)
 
     def _sum(self) -> None:
         self.cum = np.concatenate(([0], np.cumsum(self.freq))).astype(np.int32)
@@ -86,9 +99,6 @@ class Model:
         self.bins = np.cumsum(np.bincount((self.cum[1:] + (1 << self.shift) - 1) >> self.shift, minlength=(self.total >> self.shift) + 2)).astype(np.int32)
         self.known0 = STRETCH[np.minimum((self.freq << 12) // self.total, 4095)].astype(np.int32)
 
-    def _known0(self, ids: np.ndarray) -> np.ndarray:
-        return self.known0[ids]
-
     def ids_at(self, target: np.ndarray) -> np.ndarray:
         """The id in whose part of the sum each target lies."""
         out = self.bins[target >> self.shift]
@@ -100,39 +110,31 @@ class Model:
 
     def at(self, a: np.ndarray, b: np.ndarray) -> None:
         """Looks up the predictions after ids a, b."""
-        self.k1 = b & 0xFFFF
+        self.k1 = b
         self.k2 = ((a * 0x9E3779B1 + b * 0x85EBCA6B) >> 8) & 0x3FFFF
         self.p1, self.c1 = self.next1[self.k1], self.sure1[self.k1]
         self.p2, self.c2 = self.next2[self.k2], self.sure2[self.k2]
+        self.apart = self.p1 != self.p2
 
     def chance2(self) -> np.ndarray:
-        s = self.c1 + 16 * (self.p1 == self.p2)
-        self.s12 = s
-        self.x2 = [STRETCH[((self.hits2 << 12) // self.all2)][self.c2], STRETCH[(self.agree << 12) // self.agree_all][s], self._known0(self.p2)]
-        self.q2 = self.mix2.mix(self.x2, self.c2)
-        return self.q2
+        """Of the id last seen after two ids; the other class says what order 1 holds, and whether it agrees."""
+        self.joint2 = (self.c2.astype(np.int64) << 5) + self.c1 + (~self.apart).view(np.int8) * np.int8(16)
+        self.own2 = self.known0[self.p2]
+        return self.mix2.mix(self.joint2, self.own2)
 
     def chance1(self, on: np.ndarray) -> np.ndarray:
-        c = self.c1[on]
-        self.x1 = [STRETCH[((self.hits1 << 12) // self.all1)][c], self._known0(self.p1[on])]
-        self.q1 = self.mix1.mix(self.x1, c)
-        return self.q1
+        """Of the id last seen after one id, for the places that are left."""
+        self.joint1, self.own1 = self.c1[on].astype(np.int64), self.known0[self.p1[on]]
+        return self.mix1.mix(self.joint1, self.own1)
 
     def learn(self, ids: np.ndarray, hit2: np.ndarray, on1: np.ndarray, hit1: np.ndarray, rest: np.ndarray) -> None:
-        if self.steps < 12 or self.steps % 4 == 0:  # records and weights settle early: later, a quarter of the steps will do
-            self.mix2.learn(self.x2, self.c2, self.q2, hit2)
-            self.hits2 += np.bincount(self.c2[hit2], minlength=16)
-            self.all2 += np.bincount(self.c2, minlength=16)
-            self.agree += np.bincount(self.s12[hit2], minlength=32)
-            self.agree_all += np.bincount(self.s12, minlength=32)
-            if len(on1):
-                c = self.c1[on1]
-                self.mix1.learn(self.x1, c, self.q1, hit1)
-                self.hits1 += np.bincount(c[hit1], minlength=16)
-                self.all1 += np.bincount(c, minlength=16)
+        """Every decision counts. Order-0 counts are taken in every step, and from the sixteenth on their table is made anew every fourth."""
+        self.mix2.learn(self.joint2, self.own2, hit2)
+        if len(on1):
+            self.mix1.learn(self.joint1, self.own1, hit1)
         for table, sure, k, p, c in ((self.next2, self.sure2, self.k2, self.p2, self.c2), (self.next1, self.sure1, self.k1, self.p1, self.c1)):
             good = p == ids
-            sure[k] = np.where(good, np.minimum(c + 1, 15), c >> 1)
+            sure[k] = MORE[c + (good.view(np.int8) << 4)]
             table[k] = np.where(good | (c > 1), p, ids)
         self.fresh += np.bincount(rest, minlength=self.alphabet)
         self.steps += 1
@@ -185,40 +187,44 @@ def encode(ids: np.ndarray, alphabet: int) -> bytes:
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, START)
     model, out_lane, out_digit = Model(alphabet), [], []
 
-    def settle(on: np.ndarray) -> None:
-        small = on[span[on] < SMALL]
+    def settle(small: np.ndarray) -> None:
         if len(small):
             out_lane.append(small)
-            out_digit.append(low[small] >> DIGIT)
-            low[small] = (low[small] & LOW30) << DIGIT
+            digits = low[small]
+            out_digit.append(digits >> DIGIT)
+            low[small] = (digits & LOW30) << DIGIT
             span[small] <<= DIGIT
 
-    def flag(on: np.ndarray, p: np.ndarray, hit: np.ndarray) -> None:
-        bound = (span[on] >> np.uint64(16)) * p.astype(np.uint64)
-        low[on] += np.where(hit, np.uint64(0), bound)
-        span[on] = np.where(hit, bound, span[on] - bound)
-        settle(on)
+    def flag(p: np.ndarray, hit: np.ndarray, on: np.ndarray | None = None) -> None:
+        """on: the lanes (None: the first len(p))."""
+        at = slice(len(p)) if on is None else on
+        now = span[at]
+        bound = (now >> np.uint64(16)) * p
+        low[at] += bound * ~hit
+        span[at] = now = np.where(hit, bound, now - bound)
+        small = np.flatnonzero(now < SMALL)
+        settle(small if on is None else on[small])
 
     prev = [np.zeros(lanes, dtype=np.int64)] * 2
     for t in range(steps):
         m = lanes if t < last else lanes - 1
         if not m:
             break
-        x, every = grid[t, :m], np.arange(m)
+        x = grid[t, :m]
         model.at(prev[0][:m], prev[1][:m])
         hit2 = model.p2 == x
-        flag(every, model.chance2(), hit2)
-        on1 = np.flatnonzero(~hit2 & (model.p1 != model.p2))
+        flag(model.chance2(), hit2)
+        on1 = np.flatnonzero(~hit2 & model.apart)
         hit1 = model.p1[on1] == x[on1]
-        flag(on1, model.chance1(on1), hit1)
+        flag(model.chance1(on1), hit1, on1)
         missed = ~hit2
         missed[on1[hit1]] = False
         on0 = np.flatnonzero(missed)
         s = x[on0]
         r = span[on0] // np.uint64(model.total)
         low[on0] += r * model.cum[s].astype(np.uint64)
-        span[on0] = r * model.freq[s].astype(np.uint64)
-        settle(on0)
+        span[on0] = now = r * model.freq[s].astype(np.uint64)
+        settle(on0[now < SMALL])
         model.learn(x, hit2, on1, hit1, s)
         prev = [prev[1], grid[t]]
     every = np.arange(lanes)
@@ -261,19 +267,21 @@ def decode(block: bytes) -> np.ndarray:
     grid = np.zeros((steps, lanes), dtype=np.int64)
     last = n - (lanes - 1) * steps
 
-    def settle(on: np.ndarray) -> None:
-        small = on[span[on] < SMALL]
+    def settle(small: np.ndarray) -> None:
         if len(small):
             value[small] = (value[small] << DIGIT) | digit[at[small]]
             at[small] += 1
             span[small] <<= DIGIT
 
-    def flag(on: np.ndarray, p: np.ndarray) -> np.ndarray:
-        bound = (span[on] >> np.uint64(16)) * p.astype(np.uint64)
-        hit = value[on] < bound
-        value[on] -= np.where(hit, np.uint64(0), bound)
-        span[on] = np.where(hit, bound, span[on] - bound)
-        settle(on)
+    def flag(p: np.ndarray, on: np.ndarray | None = None) -> np.ndarray:
+        at = slice(len(p)) if on is None else on
+        now, held = span[at], value[at]
+        bound = (now >> np.uint64(16)) * p
+        hit = held < bound
+        value[at] = held - bound * ~hit
+        span[at] = now = np.where(hit, bound, now - bound)
+        small = np.flatnonzero(now < SMALL)
+        settle(small if on is None else on[small])
         return hit
 
     prev = [np.zeros(lanes, dtype=np.int64)] * 2
@@ -281,12 +289,11 @@ def decode(block: bytes) -> np.ndarray:
         m = lanes if t < last else lanes - 1
         if not m:
             break
-        x, every = np.zeros(m, dtype=np.int64), np.arange(m)
         model.at(prev[0][:m], prev[1][:m])
-        hit2 = flag(every, model.chance2())
-        x[hit2] = model.p2[hit2]
-        on1 = np.flatnonzero(~hit2 & (model.p1 != model.p2))
-        hit1 = flag(on1, model.chance1(on1))
+        hit2 = flag(model.chance2())
+        x = model.p2.astype(np.int64)  # right where order 2 hit, and overwritten elsewhere
+        on1 = np.flatnonzero(~hit2 & model.apart)
+        hit1 = flag(model.chance1(on1), on1)
         x[on1[hit1]] = model.p1[on1[hit1]]
         missed = ~hit2
         missed[on1[hit1]] = False
@@ -294,8 +301,8 @@ def decode(block: bytes) -> np.ndarray:
         r = span[on0] // np.uint64(model.total)
         s = model.ids_at(np.minimum(value[on0] // r, np.uint64(model.total - 1)).astype(np.int32))
         value[on0] -= r * model.cum[s].astype(np.uint64)
-        span[on0] = r * model.freq[s].astype(np.uint64)
-        settle(on0)
+        span[on0] = now = r * model.freq[s].astype(np.uint64)
+        settle(on0[now < SMALL])
         x[on0] = s
         model.learn(x, hit2, on1, hit1, s)
         grid[t, :m] = x
