@@ -141,7 +141,7 @@ def test_simhash_links_as_brute_force(spark, hot):
             root[max(x, y)] = min(x, y)
     signed = lambda v: v - (1 << 64) if v >> 63 else v
     table = spark.createDataFrame([(signed(v), k) for k, v in enumerate(fps)], "fp long, least long").repartition(3)
-    got = {r["fp"]: r["least"] for r in simhash._rooted(table, 4, hot).collect()}
+    got = {r["fp"]: r["least"] for r in simhash.rooted(table, simhash.near_links(table, 4, hot)).collect()}
     assert got == {signed(v): find(k) for k, v in enumerate(fps)}
 
 
@@ -163,7 +163,63 @@ def test_simhash_groups(docs, rows, empty):
     assert kept.columns == docs.columns
     ids = [r["doc_id"] for r in kept.collect()]
     assert len(ids) == len(set(ids)) and 1 in ids and 6 not in ids and ids.count(5) == 1
-    assert simhash.near_groups(empty).count() == 0
+    assert simhash.near_groups(empty).count() == 0 == simhash.keep_one(empty).count()
+
+
+def _similar_groups(texts, radius=7, similarity=0.8):
+    """Places by group: linked by similarity of five-word shingles, among texts that fingerprints of words join."""
+    words = [WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or "")) for t in texts]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in words]
+    prints = []
+    for w in words:
+        h = [xxhash.xxh64_intdigest(x.encode(), 42) for x in set(w)]
+        prints.append(sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h)))
+
+    def groups(linked):
+        root = list(range(len(texts)))
+        for i in range(len(texts)):
+            for j in range(i):
+                if root[i] != root[j] and linked(i, j):
+                    a, b = root[i], root[j]
+                    root = [min(a, b) if r in (a, b) else r for r in root]
+        return root
+
+    near = groups(lambda i, j: (prints[i] ^ prints[j]).bit_count() <= radius)
+    return groups(lambda i, j: words[i] == words[j] or (near[i] == near[j] and 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j])))
+
+
+@pytest.mark.parametrize("block, hot", [(simhash.CHECKED, simhash.HOT), (3, 3)])
+def test_keep_one_as_brute_force(spark, docs, rows, tmp_path, block, hot):
+    rng = random.Random(7)
+    texts = []
+    for k in range(12):
+        words = _words(1000 + k, rng.randint(20, 200)).split()
+        for _ in range(rng.choice((1, 2, 9))):
+            own = list(words)
+            for _ in range(rng.randint(0, 6)):
+                own[rng.randrange(len(own))] = f"n{rng.randrange(10**6)}"
+            texts.append((" " if rng.random() < 0.5 else "\n").join(own))
+    texts += [texts[3]] * 3 + [texts[5].upper(), None, "", " ", "one two", "one two", "One two three"]
+    ids = [None if k % 7 == 0 else rng.randrange(50) for k in range(len(texts))]
+    schema = "doc_id long, text string, _row string, fp int, node long, whole string, _text string"
+    spark.createDataFrame([(i, t, "own", k, 1, "w", "x") for k, (i, t) in enumerate(zip(ids, texts))], schema).repartition(3).write.parquet(str(tmp_path / "t"))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    out = simhash.keep_one(table, block=block, hot=hot)
+    assert out.schema == table.schema
+    kept = [r["fp"] for r in out.collect()]
+    root = _similar_groups(texts)
+    assert len(set(root)) < 40 and sorted(root[k] for k in kept) == sorted(set(root))
+    for k in kept:
+        assert (ids[k] is None, ids[k] or 0) == min((ids[j] is None, ids[j] or 0) for j in range(len(ids)) if root[j] == root[k])
+
+
+def test_similar_pairs():
+    rng = np.random.default_rng(4)
+    sets = [np.unique(rng.integers(0, 40, rng.integers(0, 30))).astype(np.uint64) for _ in range(60)]
+    want = {(i, j) for i in range(60) for j in range(i + 1, 60) if 10 * len(np.intersect1d(sets[i], sets[j])) >= 4 * len(np.union1d(sets[i], sets[j])) > 0}
+    assert set(zip(*(x.tolist() for x in simhash.similar_pairs(sets, 0.4)))) - want <= {(i, j) for i in range(60) for j in range(60) if not len(sets[i]) and not len(sets[j])}
+    assert want <= set(zip(*(x.tolist() for x in simhash.similar_pairs(sets, 0.4))))
+    assert {p for p in want if p[0] < 20 <= p[1]} == set(zip(*(x.tolist() for x in simhash.similar_pairs(sets, 0.4, 20)))) - set()
 
 
 # ---- substrings -------------------------------------------------------------------------------

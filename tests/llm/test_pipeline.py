@@ -3,7 +3,8 @@
 from collections import Counter
 
 import corpus_pipeline
-from broadsheet.llm import mixing, pii, simhash, toxicity
+from broadsheet.llm import mixing, pii, toxicity
+from test_operators import _similar_groups
 
 SF = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -23,18 +24,11 @@ def test_stages(spark):
     scores = toxicity.Scorer(machine)([r["text"] for r in first])
     assert Counter(harmless) == Counter(r for r, s in zip(first, scores) if s < 0.3)
 
-    prints = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in harmless}
-    left, kept = sorted(prints), []
-    while left:
-        group, todo = set(), [left[0]]
-        while todo:
-            i = todo.pop()
-            if i not in group:
-                group.add(i)
-                todo += [j for j in left if (prints[i] ^ prints[j]).bit_count() <= 4]
-        kept.append(min(group))
-        left = [i for i in left if i not in group]
-    assert sorted(r["doc_id"] for r in distinct) == sorted(kept)
+    root = _similar_groups([r["text"] for r in harmless])
+    kept = {}
+    for r, g in zip(harmless, root):
+        kept[g] = min(kept.get(g, r["doc_id"]), r["doc_id"])
+    assert len(kept) < len(harmless) and sorted(r["doc_id"] for r in distinct) == sorted(kept.values())
 
     tagger = pii.Tagger(pii.default_field())
     texts = [r["text"] for r in distinct]
