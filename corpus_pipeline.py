@@ -3,6 +3,11 @@
 Every stage but the last returns the columns of documents. Between stages the rows are written as
 Parquet in the folder that all executors share and read again, so a lost executor costs a part
 of one stage at most.
+
+Nulls, empty and very long texts, repeated rows and columns of any name are borne by every stage: an empty or null text is
+harmless, a copy of every other such text, has no personal data, has size 0 (so it goes along with its source's rate) and packs as
+one piece, the end id. Repeated rows are copies of each other, so one stays. Columns that stages use inside do not clash with
+those of docs, which come out as they came. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ def harmless(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that SimHash links join."""
+    """One document of each group of near-duplicates: five-word shingles of a similarity of 0.8 or more."""
     return simhash.keep_one(docs)
 
 
