@@ -1,27 +1,28 @@
-"""Substring deduplication by prefix-partitioned suffix trees.
+"""Substring deduplication by windows of words, dealt by prefix and hash, in place of prefix-partitioned suffix trees.
 
-A suffix is a word position that starts a window of `window` words; the tree of all suffixes, cut
-at that depth, has a deep internal node for each window that occurs at least twice, its leaves
-are the occurrences, and runs of such windows are the maximal repeats. Every word under a leaf
-other than its node's first (smaller doc_id, then earlier start) is removed.
+A suffix is a word position that starts a window of `window` words. Of the tree of all suffixes only the nodes of that
+depth are asked for: a window that occurs at least twice. Every word of an occurrence
+other than the first (smaller doc_id, then earlier start) is removed. Trees of words themselves are not built: a suffix
+would travel as 20 words, ten times what it travels as here.
 
-The tree is never whole anywhere. A suffix travels as a path: a code whose bytes are hashes of its
-first 1, 2, 4 and 8 words, and a 64-bit hash of all its words, 96 bits in all. Variable-length
-prefixes of the code, as long as the counts ask, cut the suffixes into groups that fit in memory;
-small neighbours share a group. Each group sorts its paths, which is the order of the leaves in
-the subtree, and nodes of full depth are runs of equal paths.
+A suffix travels as a path: a code whose bytes are hashes of its
+first 1, 2, 4 and 8 words, and a 64-bit hash of all its words, 96 bits in all. Counts of first words' bytes cut the suffixes
+into groups that fit in memory; small neighbours share a group, and a byte that asks for several is split by ranges of the
+hash of all words, so suffixes that begin alike, however many words, spread over all of its groups. Each group sorts its
+paths, and repeated windows are runs of equal paths.
 
 Suffixes that occur once are kept out beforehand, without loss: equal windows have equal
 minimizers (the least hash of 8 words inside), so only windows whose minimizer occurs at two
 places are sent. And each shard sends a path once, with its first place: later ones in
 the shard are known to be repeats. A passage in every document thus costs a row per shard.
 
-Shards are what one task of the first scan held, written as a table bucketed by shard; the later
+Shards are what one task of the first scan held, written as a table with a bucket for each shard; the later
 passes meet their shard's texts there, without shuffling texts.
 
 Defined results: null text: no words; fewer words than a window: nothing removed; overlapping
 windows of one document count; equal doc_ids: each row a document, in order of shard and place; null
-doc_id: after all others; an empty table: no rows. Other columns are ignored.
+doc_id: after all others; repeated rows: all windows but the first row's go; long texts are whole in one task; an empty
+table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -168,7 +170,7 @@ def _repeated_rows(batches):
 
 
 class Prefixes:
-    """Groups of suffixes: ranges of prefix codes that the counts of first bytes make of like size."""
+    """Groups of suffixes of like size: neighbouring first bytes together, or ranges of the whole hash within one."""
 
     def __init__(self, counts: np.ndarray, most: int):
         self.base, self.parts = np.zeros(256, np.int64), np.ones(256, np.int64)
@@ -183,10 +185,9 @@ class Prefixes:
                 group, size = group + k, 0
         self.count = int(group + 1)
 
-    def of(self, codes: np.ndarray) -> np.ndarray:
+    def of(self, codes: np.ndarray, paths: np.ndarray) -> np.ndarray:
         slot = codes >> np.uint32(24)
-        rest = (codes & np.uint32(0xFFFFFF)).astype(np.int64)
-        return self.base[slot] + (rest * self.parts[slot] >> 24)
+        return self.base[slot] + ((paths >> np.uint64(32)).astype(np.int64) * self.parts[slot] >> 32)
 
 
 def _in_order(texts: pa.Table) -> tuple[list, list]:
@@ -215,12 +216,12 @@ def _suffix_rows(texts: pa.Table, known: pa.Table, prefixes: Prefixes, window: i
     if not parts:
         return schema.empty_table()
     code, path, doc, place = (np.concatenate(x) for x in zip(*parts))
-    order = np.lexsort((place, doc, path, code))
-    code, path, doc, place = code[order], path[order], doc[order], place[order]
+    group = prefixes.of(code, path)
+    order = np.lexsort((place, doc, path, code, group))
+    group, code, path, doc, place = group[order], code[order], path[order], doc[order], place[order]
     first = np.concatenate(([True], (code[1:] != code[:-1]) | (path[1:] != path[:-1])))
     out = [(-1, place[~first].astype("<i8").tobytes())] if not first.all() else []
-    code, path, doc, place = code[first], path[first], doc[first], place[first]
-    group = prefixes.of(code)
+    group, code, path, doc, place = group[first], code[first], path[first], doc[first], place[first]
     edges = np.flatnonzero(np.concatenate(([True], group[1:] != group[:-1], [True])))
     for a, b in zip(edges[:-1], edges[1:]):
         out.append((int(group[a]), pack(code[a:b], path[a:b], doc[a:b], place[a:b])))
@@ -250,9 +251,8 @@ def unpack(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     return tuple(out)
 
 
-def subtree_repeats(code: np.ndarray, path: np.ndarray, doc: np.ndarray, shard: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """The leaves of one subtree below nodes of full depth, without each node's first: places in the arrays.
-    Sorted paths are the leaves in tree order; a node of full depth is a run of equal paths."""
+def repeats(code: np.ndarray, path: np.ndarray, doc: np.ndarray, shard: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The occurrences of repeated windows of one group, without each one's first: places in the arrays."""
     order = np.lexsort((place, shard, doc, path, code))
     same = (code[order][1:] == code[order][:-1]) & (path[order][1:] == path[order][:-1])
     return order[1:][same]
@@ -267,7 +267,7 @@ def _removed_rows(batches):
             columns = [unpack(raw) for _, raw in held]
             shard = np.repeat([t for t, _ in held], [len(c[0]) for c in columns])
             code, path, doc, place = (np.concatenate(x) for x in zip(*columns))
-            later = subtree_repeats(code, path, doc, shard, place)
+            later = repeats(code, path, doc, shard, place)
             order = later[np.argsort(shard[later], kind="stable")]
             ts, firsts = np.unique(shard[order], return_index=True)
             for t, places in zip(ts.tolist(), np.split(place[order], firsts[1:])):
@@ -323,21 +323,41 @@ def _text_rows(texts: pa.Table, removed: pa.Table, window: int) -> pa.Table:
     return pa.table({"doc_id": pa.array([d for d, _ in rows], pa.int64()), "text": pa.array([t for _, t in rows], pa.string())})
 
 
-def shards(docs: DataFrame) -> tuple[DataFrame, int]:
-    """The written table t, row, doc_id, text, bucketed by shard t, and its number of buckets."""
+def bucket_keys(spark: SparkSession, n: int) -> list[int]:
+    """For each of n buckets the least number that Spark's bucketing puts there, so that each key has a bucket of its own."""
+    found: dict[int, int] = {}
+    start, size = 0, 16 * n + 64
+    while len(found) < n:
+        ids = spark.range(start, start + size).select(F.col("id").cast("int").alias("i"))
+        for r in ids.groupBy(F.pmod(F.hash("i"), F.lit(n)).alias("b")).agg(F.min("i").alias("i")).collect():  # a row for each bucket
+            found.setdefault(r["b"], r["i"])
+        start += size
+    return [found[b] for b in range(n)]
+
+
+def shards(docs: DataFrame) -> DataFrame:
+    """The written table t, row, doc_id, text; each task of this scan is a shard t and a bucket by itself."""
     spark = docs.sparkSession
-    rows = docs.select(F.spark_partition_id().alias("t"), F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
     buckets = max(1, docs.rdd.getNumPartitions())
+    keys = bucket_keys(spark, buckets)
+
+    def numbered(batches):
+        t = keys[TaskContext.get().partitionId() % buckets]
+        for b in batches:
+            yield b.set_column(0, "t", pa.array(np.full(b.num_rows, t, np.int32)))
+
+    rows = docs.select(F.lit(0).alias("t"), F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long"), "text")
+    rows = rows.mapInArrow(numbered, "t int, row long, doc_id long, text string")
     name = f"shards_{uuid.uuid4().hex}"
     rows.write.format("parquet").bucketBy(buckets, "t").sortBy("t").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name), buckets
+    return spark.table(name)
 
 
 def _deduplicated(docs: DataFrame, window: int, finish, schema: str) -> DataFrame:
-    texts, _ = shards(docs)
-    spark, parts = docs.sparkSession, shuffle_parts(docs.sparkSession)
+    texts = shards(docs)
+    parts = shuffle_parts(docs.sparkSession)
     sent = texts.select("t", "text").mapInArrow(lambda b: _minimizer_rows(b, parts, window), "bucket int, t int, multi int, blob binary")
-    known = stash(sent.repartition(parts, "bucket").mapInArrow(_repeated_rows, "t int, blob binary"), "minimizers")
+    known = stash(sent.repartitionById(parts, F.col("bucket")).mapInArrow(_repeated_rows, "t int, blob binary"), "minimizers")
     sums = known.where("t = -1").select("blob").collect()  # a row of fixed size for each partition
     counts = np.sum([np.frombuffer(r["blob"], np.int64) for r in sums], axis=0) if sums else np.zeros(256, np.int64)
     prefixes = Prefixes(counts, min(GROUP, max(20_000, int(counts.sum()) // (8 * parts))))
@@ -345,8 +365,9 @@ def _deduplicated(docs: DataFrame, window: int, finish, schema: str) -> DataFram
         lambda left, right: _suffix_rows(left, right, prefixes, window), "group_id long, t int, blob binary"
     )
     # places that a shard removed by itself pass through, dealt by shard
-    dealt = suffixes.repartition(parts, F.when(F.col("group_id") < 0, -1 - F.col("t")).otherwise(F.col("group_id")))
-    removed = stash(dealt.sortWithinPartitions("group_id").mapInArrow(_removed_rows, "t int, blob binary"), "removed")
+    part = F.pmod(F.when(F.col("group_id") < 0, F.col("t")).otherwise(F.col("group_id")), F.lit(parts)).cast("int")
+    dealt = suffixes.repartitionById(parts, part).sortWithinPartitions("group_id")
+    removed = stash(dealt.mapInArrow(_removed_rows, "t int, blob binary"), "removed")
     return texts.groupBy("t").cogroup(removed.groupBy("t")).applyInArrow(lambda left, right: finish(left, right, window), schema)
 
 

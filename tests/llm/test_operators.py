@@ -256,6 +256,25 @@ def test_substrings_within_a_document_and_empty(spark, empty):
     assert {r["doc_id"] for r in substrings.without_repeats(table).collect()} == {1, 2, 3}
 
 
+def test_suffixes_that_begin_alike_spread():
+    """300 suffixes after the same words, whose first byte asks for many groups."""
+    begin = b"posted by a user of this board on".split()
+    shingled = [substrings.Shingled([*begin, *_words(k, 20).encode().split()]) for k in range(300)]
+    codes, paths = (np.concatenate([f(s)[:1] for s in shingled]) for f in (lambda s: s.codes(np.array([0])), lambda s: s.of(20)))
+    assert len(np.unique(codes)) == 1
+    counts = np.ones(256, np.int64)
+    counts[int(codes[0]) >> 24] = 10**9
+    groups = substrings.Prefixes(counts, 4_000_000).of(codes, paths)
+    assert len(np.unique(groups)) > 120
+
+
+def test_each_shard_has_a_bucket_of_its_own(spark):
+    for n in (1, 2, 7, 40):
+        keys = substrings.bucket_keys(spark, n)
+        frame = spark.createDataFrame([(k,) for k in keys], "k int")
+        assert [r[0] for r in frame.select(substrings.F.pmod(substrings.F.hash("k"), substrings.F.lit(n))).collect()] == list(range(n))
+
+
 def test_suffix_columns_pack():
     rng = np.random.default_rng(0)
     cols = rng.integers(0, 1 << 32, 50).astype(np.uint32), rng.integers(0, 1 << 63, 50).astype(np.uint64), rng.integers(-(1 << 62), 1 << 62, 50), np.arange(50)
