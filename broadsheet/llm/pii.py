@@ -7,7 +7,7 @@ It is trained on the driver from labelled_table(), a few hundred sentences built
 from the forms in FORMS; decoding runs in numpy, step by step over all lines of a batch at once.
 A word's share of the scores is computed once for each distinct word of a worker.
 
-Spans of the field that touch a base span are dropped; base spans stay. Lines are decoded whole:
+Nothing overrules the field but the base patterns: spans of the field that touch a base span are dropped. Lines are decoded whole:
 those longer than STEPS words by themselves, with back pointers held for RUN words at a time.
 
 Defined results: null or empty text: no spans; equal spans of several kinds: in the order of KINDS;
@@ -448,21 +448,6 @@ class Tagger:
         return spans
 
 
-#: A spelled-out email has a name, an at, a host, a dot and a domain.
-SPELLED = re.compile(r"\w[\w.-]*\s*(?:\bat\b|[\[(]at[\])])\s*\w[\w-]*\s*(?:\bdot\b|[\[(]dot[\])]|\.)\s*\w+")
-
-
-def plausible(text: str, a: int, kind: int, b: int) -> bool:
-    """What a span of the field must hold at least: it lies under the threshold of the forms it was taught."""
-    body = text[a:b]
-    digits = sum(c in "0123456789" for c in body)
-    if KINDS[kind] == "secret":
-        return len(body) >= 16 and digits >= 3 and " " not in body
-    if KINDS[kind] == "phone":
-        return 7 <= digits <= 15 and not any(c.isalpha() for c in body)
-    return SPELLED.search(body.lower()) is not None
-
-
 @functools.lru_cache(maxsize=1)
 def default_field() -> Field:
     return train(labelled_table())
@@ -473,7 +458,7 @@ def all_spans(tagger: Tagger, texts: list[str | None]) -> list[tuple[list, list]
     out = []
     for text, more in zip(texts, tagger.spans(texts)):
         base = base_spans(text)
-        added = [s for s in more if plausible(text, *s) and all(s[2] <= a or b <= s[0] for a, _, b in base)]
+        added = [s for s in more if all(s[2] <= a or b <= s[0] for a, _, b in base)]
         out.append((base, sorted(base + added)))
     return out
 

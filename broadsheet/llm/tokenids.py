@@ -8,7 +8,7 @@ and checks every block; ids before a part are the sums of the parts before it, o
 which there is one number for each.
 
 Defined results: null or empty text: the end id alone; null doc_id: first; equal doc_ids: by
-text; an empty table: no rows. Other columns are ignored.
+XXH64 of the text, then text; repeated rows: each by itself; a text longer than a block: a block by itself; an empty table: no rows. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -87,8 +87,10 @@ def write_ids(docs: DataFrame, path: str | None = None, end_id: int = 2, alphabe
         if size:
             yield close()
 
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(parts, F.col("doc_id").asc_nulls_first())
-    rows = rows.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # a hash of the text stands second in the order, so that rows of one id, or of none, are cut into ranges too
+    order = [F.col("doc_id").asc_nulls_first(), F.col("hash").asc(), F.col("text").asc()]
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("hash"))
+    rows = rows.repartitionByRange(parts, *order[:2]).sortWithinPartitions(*order).select("doc_id", "text")
     return stash(rows.mapInArrow(blocks, BLOCKS), "token-ids")
 
 

@@ -406,6 +406,24 @@ def test_toxicity_held_out_and_edges(spark, docs, empty):
     assert toxicity.score(empty, machine).count() == 0
 
 
+def test_toxicity_scores_as_the_double_sum(spark):
+    """The score of every text, from the weights by their definition: all single terms and all pairs."""
+    rng = random.Random(12)
+    vocabulary = ["".join(rng.choice("abcdeilnorst") for _ in range(rng.randint(1, 11))) for _ in range(60)]
+    texts = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.randint(1, 25)))) for k in range(400)]
+    labels = spark.createDataFrame([(k, int(any(x in t.split() for x in vocabulary[:6]))) for k, t in texts], "doc_id long, toxic int")
+    texts += [(1000, None), (1001, ""), (1002, "12 -- 7"), (1003, " ".join(vocabulary).upper() * 3)]
+    table = spark.createDataFrame(texts, "doc_id long, text string")
+    m = toxicity.train(table, labels)
+    assert len(m.rows) > 2
+    for r in toxicity.score(table, m).collect():
+        runs = {x.lower() for x in re.findall(r"[^\W\d_]+", dict(texts)[r["doc_id"]] or "")}
+        hashed = {zlib.crc32(t.encode()) % toxicity.BUCKETS for t in runs | {x[:6] + "*" for x in runs if len(x) > 6}}
+        on = sorted(m.rows[t] for t in hashed if t in m.rows)
+        z = m.bias + sum(m.w[i] for i in on) + sum(float(m.v[i] @ m.v[j]) for i in on for j in on if i < j)
+        assert r["score"] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -35, 35))), abs=1e-9)
+
+
 def test_toxicity_learns_from_all_but_copies(spark, monkeypatch):
     """Rows that share their commonest terms are no copies; rows of one id and repeated rows are learnt from once."""
     texts = [(k, f"the same common words and then number {'abcdefghij'[k % 10] * (k // 10 + 1)}") for k in range(60)]
@@ -574,6 +592,43 @@ def test_pages_copies_are_no_template(spark):
     assert got == {1: "something else", 2: article, 3: article, 4: article} | dict.fromkeys((5, 6), f"Share this\n{article}\nLegal") | {7: "text"}
 
 
+def _brute_differenced(raw):
+    """Plain differencing, by trying every page of the host: the nearest shares the longest beginning of path, and stands
+    next in the order of paths; of two, the later."""
+    def place(r):
+        rest = re.sub(r"^[A-Za-z][A-Za-z0-9+.-]*://", "", r[1] or "")
+        host = re.match(r"[^/?#]*", rest)[0]
+        return host.lower(), re.match(r"[^?#]*", rest[len(host) :])[0], r[1] or "", r[0]
+
+    out = {}
+    for r in raw:
+        lines = [b.text for b in pages.blocks(r[2])]
+        others = [o for o in raw if o is not r and place(o)[0] == place(r)[0]]
+        if others:
+            shared = lambda o: next((i for i, (x, y) in enumerate(zip(place(o)[1], place(r)[1])) if x != y), min(len(place(o)[1]), len(place(r)[1])))
+            before, after = [o for o in others if place(o) < place(r)], [o for o in others if place(o) > place(r)]
+            near = ([min(after, key=place)] if after else []) + ([max(before, key=place)] if before else [])
+            best = max(near, key=shared)
+            assert shared(best) == max(map(shared, others))
+            gone = {i for i, _ in pages.common_lines(lines, [b.text for b in pages.blocks(best[2])])}
+            lines = [x for i, x in enumerate(lines) if i not in gone]
+        out[r[0]] = "\n".join(lines)
+    return out
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_pages_are_paired_with_the_nearest_url(spark, parts):
+    rng = random.Random(11)
+    raw = []
+    for k in range(60):
+        host = rng.choice(["a.org", "B.org", "c.net"])
+        path = "/".join(rng.choice(["x", "yy", "news", "2024", "q"]) for _ in range(rng.randint(0, 4)))
+        body = "".join(f"<p>{rng.choice(['Menu', 'Legal', 'Share', 'line %d' % rng.randrange(200)])}</p>" for _ in range(rng.randint(0, 9)))
+        raw.append((k, rng.choice(["http://", "https://", ""]) + f"{host}/{path}{k % 7}" + rng.choice(["", "?p=1", "#top"]), body))
+    table = spark.createDataFrame(raw, "page_id long, url string, html string").repartition(4)
+    assert {r["page_id"]: r["text"] for r in pages.extract(table, parts, roles=False).collect()} == _brute_differenced(raw)
+
+
 def test_common_lines_is_longest():
     rng = random.Random(2)
     for _ in range(500):
@@ -662,6 +717,66 @@ def test_field_on_held_out_sentences():
     assert sum([pii.LABELS[i] for i in g] == want for g, (_, want) in zip(got, held)) / len(held) > 0.97
 
 
+#: Sentences by hand, of none of the forms that the field is taught: text, and what it should mark.
+BY_HAND = [
+    ("please write to maria at posteo dot net for details", "maria at posteo dot net"), ("contact john.smith [at] company [dot] org today", "john.smith [at] company [dot] org"),
+    ("call (212) 555-0187 after six", "(212) 555-0187"), ("tel. 030 555 7788 oder spaeter", "030 555 7788"), ('password = "a8f3k29dk3l10fj3m2nb48zz" in the file', "a8f3k29dk3l10fj3m2nb48zz"),
+    ("my phone: 415-555-2671 thanks", "415-555-2671"), ("email: anna(at)web.net bitte", "anna(at)web.net"), ("write to anna at host dot com", "anna at host dot com"),
+    ("api_key = 9f86d081884c7d659a2feaa0c55ad015a3bf4f1b", "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"), ("Meet me at noon near the station and look at the dot com boom of 1999.", None),
+    ("The password = must be changed every ninety days by the user", None), ("He will call you at 5 pm on Monday, phone first please.", None), ("See chapter 12, page 345-678 and table 9000 of 2019-2020.", None),
+    ("token holders of the network vote on key proposals: secret ballots", None), ("write to the editor at the address below or contact the office", None), ("fax: see the back page, tel. not given", None),
+    ("ISBN 0-306-40615-2 and order number 555-1234 were listed in 1987.", None), ("bearer of good news, the key = to success is patience", None), ("the score at the end was 21-17 at home and at dot away", None),
+    ("Das Haus steht am Ende der Strasse, Telefon vorhanden, at dot com sagt er", None), ("#### | 33 | 44 | key value | secret santa", None), ("The population was 1234567890 in all and 987 654 3210 more", None),
+]
+
+
+def test_field_on_sentences_by_hand():
+    got = pii.Tagger(pii.default_field()).spans([t for t, _ in BY_HAND])
+    marked = [[t[a:b] for a, _, b in spans] for (t, _), spans in zip(BY_HAND, got)]
+    right = sum(m == [want] for m, (_, want) in zip(marked, BY_HAND) if want)
+    false = sum(x != want for m, (_, want) in zip(marked, BY_HAND) for x in m)
+    assert right >= 8 and false <= 1, [(m, w) for m, (_, w) in zip(marked, BY_HAND) if m != [w] * bool(w)]
+
+
+def _brute_added(field, text):
+    """Spans of the field, word by word and path by path."""
+    out, n = [], len(pii.LABELS)
+    for line in re.finditer(r"[^\n]+", text):
+        words = [(line.start() + m.start(), m.group()) for m in re.finditer(r"\S+", line.group())]
+        if not words:
+            continue
+        own = [[[sum(field.w[k][f][y] for f in pii.features(pii.word_class(w))) for y in range(n)] for k in range(3)] for _, w in words]
+        emit = [[own[t][0][y] + (own[t - 1][1][y] if t else 0) + (own[t + 1][2][y] if t + 1 < len(words) else 0) for y in range(n)] for t in range(len(words))]
+        best = [(emit[0][y], [y]) for y in range(n)]
+        for t in range(1, len(words)):
+            best = [max((best[x][0] + field.pairs[x][y] + emit[t][y], best[x][1] + [y]) for x in range(n)) for y in range(n)]
+        labels = max(best)[1]
+        t = 0
+        while t < len(words):
+            y, end = labels[t], t
+            while end + 1 < len(words) and labels[end + 1] == y:
+                end += 1
+            if y:
+                a, b = words[t][0], words[end][0] + len(words[end][1])
+                edge = {"secret": "\"'.,;:|#$%&*!?()[]<>=", "phone": "\"'.,;:|[]"}.get(pii.LABELS[y], "\"'.,;:|")
+                a += len(text[a:b]) - len(text[a:b].lstrip(edge))
+                b -= len(text[a:b]) - len(text[a:b].rstrip(edge))
+                if b > a:
+                    out.append((a, pii.KINDS.index(pii.LABELS[y]), b))
+            t = end + 1
+    return out
+
+
+def test_added_spans_as_brute_force():
+    field = pii.default_field()
+    rng = random.Random(9)
+    forms = [" ".join(w) for w, _ in pii.labelled_table(1, seed=12)] + [t for t, _ in BY_HAND] + ["x" * 300, "\t", "a@b.org at c dot com"]
+    texts = ["\n".join(rng.sample(forms, rng.randint(0, 6))) for _ in range(60)] + [" ".join(rng.sample(forms, 40)), "", None]
+    for t, (base, spans) in zip(texts, pii.all_spans(pii.Tagger(field), texts)):
+        want = [s for s in _brute_added(field, t or "") if all(s[2] <= a or b <= s[0] for a, _, b in base)]
+        assert spans == sorted(base + want) and base == _brute_base(t or "")
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(5)
     pairs, emit = rng.normal(size=(4, 4)), rng.normal(size=(3, 5, 4))
