@@ -48,6 +48,8 @@ SHINGLE, RADIUS, SEED = 4, 4, 42
 SLOTS, HOT = 1 << 17, 20_000
 #: Fingerprints that a task deals at a time; tasks over which the nodes of one component are joined.
 RUN, SALTS = 200_000, 32
+#: Tasks whose forests of links become one.
+MERGED = 16
 #: Bits by which fingerprints of words may differ, and documents of a candidate group that are checked together.
 WORD_RADIUS, CHECKED = 7, 512
 
@@ -280,7 +282,23 @@ def near_links(different: DataFrame, radius: int = RADIUS, hot: int = HOT) -> Da
             yield from out()
 
     rows = different.select("fp").mapInArrow(dealt, "part int, t int, fps binary").repartitionById(parts, F.col("part"))
-    return rows.select("t", "fps").mapInArrow(lambda bs: forest_links(bs, tables), "src long, dst long")
+    links = rows.select("t", "fps").mapInArrow(lambda bs: forest_links(bs, tables), "src long, dst long")
+    # a large group is spanned anew by every task that sees it; the forests of MERGED tasks become one
+    groups = max(1, parts // MERGED)
+    return links.repartitionById(groups, F.pmod(F.spark_partition_id(), F.lit(groups))).mapInArrow(merged_forests, "src long, dst long")
+
+
+def merged_forests(batches):
+    """Links in, links that span the same components out."""
+    got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
+    if not got:
+        return
+    src, dst = (np.concatenate(x) for x in zip(*got))
+    nodes, place = np.unique(np.concatenate((src, dst)), return_inverse=True)
+    forest = Forest(len(nodes))
+    forest.join(place[: len(src)], place[len(src) :])
+    tied = np.flatnonzero(forest.root != np.arange(len(nodes)))
+    yield pa.record_batch([pa.array(nodes[tied]), pa.array(nodes[forest.root[tied]])], ["src", "dst"])
 
 
 def near_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS, hot: int = HOT) -> DataFrame:

@@ -18,6 +18,7 @@ are no labels; repeated labels count once each; an empty table: no rows. Other c
 
 from __future__ import annotations
 
+import hashlib
 import re
 import zlib
 from dataclasses import dataclass, field
@@ -161,15 +162,16 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     # one document for each labelled row, so that what reaches the driver is bounded by the sample
     bags_ = rows.mapInArrow(bags, "doc_id long, toxic int, bag binary")
     least = bags_.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("bag"), "bag")).alias("k"))
-    got = least.select("doc_id", "toxic", "k.bag").collect()
+    got = sorted(least.select("doc_id", "toxic", "k.bag").collect(), key=lambda r: (r["doc_id"], r["toxic"]))
     seen, docs_, y = set(), [], []
-    for r in sorted(got, key=lambda r: (r["doc_id"], r["toxic"], r["bag"])):
-        bag = np.frombuffer(r["bag"], dtype="<i4").astype(np.int64)
-        key = (bytes(r["bag"]), r["toxic"])
+    for r in got:
+        bag = np.frombuffer(r["bag"], dtype="<i4")
+        key = (hashlib.sha256(bag).digest(), r["toxic"])
         if len(bag) and key not in seen:
             seen.add(key)
             docs_.append(bag)
             y.append(r["toxic"])
+    del got, seen
     return fit(docs_, np.array(y))
 
 
