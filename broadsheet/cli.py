@@ -13,7 +13,7 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as C
@@ -32,24 +32,31 @@ def truth(text: str) -> bool:
 
 def _read(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """files (page_id as path, xml), parsed pages, and lines with a number for their page (key: path)."""
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").load(path)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.xml").option("recursiveFileLookup", "true").load(path)
     files = files.select(F.col("path").alias("page_id"), F.col("content").cast("string").alias("xml"))
     parsed = page_xml.parse_pages(files)
     lines = page_xml.text_lines(parsed).withColumn("key", F.col("page_id")).withColumn("page_id", F.xxhash64("key"))
     return files, parsed, lines
 
 
-def _named(files: DataFrame) -> DataFrame:
-    """Files under their own names, without the folders they came from."""
-    return files.withColumn("path", F.regexp_extract("path", r"([^/]*)$", 1))
+def _below(spark: SparkSession, root: str, path: Column) -> Column:
+    """path below the folder root, so that files of one name in several folders stay apart."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(root)
+    top = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(place).toString().rstrip("/") + "/"
+    return F.when(path.startswith(top), F.substring(path, len(top) + 1, 1 << 20)).otherwise(F.regexp_extract(path, r"([^/]*)$", 1))
+
+
+def _named(files: DataFrame, root: str) -> DataFrame:
+    """Files under their names below root."""
+    return files.withColumn("path", _below(files.sparkSession, root, F.col("path")))
 
 
 def cluster(spark: SparkSession, pages: str, out: str, **settings) -> int:
-    """Article tags: min_lines, min_article, factor, max_d, target as in clustering.cluster()."""
+    """Article tags: min_lines, min_article, factor, max_d, target, spacing as in clustering.cluster()."""
     files, _, lines = _read(spark, pages)
     tags = clustering.article_tags(clustering.cluster(lines, **settings))
     own = lines.select("page_id", "idx", "key", "line_id").join(tags, ["page_id", "idx"])
-    return sinks.save(_named(sinks.with_article_tags(files, own.select(F.col("key").alias("page_id"), "line_id", "article_id"))), out)
+    return sinks.save(_named(sinks.with_article_tags(files, own.select(F.col("key").alias("page_id"), "line_id", "article_id")), pages), out)
 
 
 def regions(spark: SparkSession, pages: str, out: str, spacing: float = 50, max_d: int = 100, alpha: float = 75) -> int:
@@ -64,14 +71,14 @@ def regions(spark: SparkSession, pages: str, out: str, spacing: float = 50, max_
     packed = line.groupBy("page_id", "key", "region").agg(F.array_sort(F.collect_list(F.struct("reading_order", "line_id", "text", "baseline", "surr_p"))).alias("lines"))
     full = packed.join(found.drop("line_ids"), ["page_id", "region"])
     full = full.withColumn("lines", F.transform("lines", lambda n: F.struct(n["line_id"].alias("line_id"), n["reading_order"].alias("reading_order"), n["text"].alias("text"), n["baseline"].alias("baseline"), n["surr_p"].alias("surr_p"))))
-    return sinks.save(_named(sinks.with_text_regions(files, full.drop("page_id").withColumnRenamed("key", "page_id"))), out)
+    return sinks.save(_named(sinks.with_text_regions(files, full.drop("page_id").withColumnRenamed("key", "page_id")), pages), out)
 
 
 def text(spark: SparkSession, pages: str, out: str) -> int:
     _, parsed, lines = _read(spark, pages)
     got = records.article_texts(lines.drop("page_id").withColumnRenamed("key", "page_id"))
     every = parsed.where("error IS NULL").select("page_id").join(got, "page_id", "left")
-    return sinks.save(_named(sinks.text_files(every.select(records.text_path(F.col("page_id")).alias("path"), F.coalesce("content", F.lit("")).alias("content")))), out)
+    return sinks.save(_named(sinks.text_files(every.select(records.text_path(F.col("page_id")).alias("path"), F.coalesce("content", F.lit("")).alias("content"))), pages), out)
 
 
 def _write_images(images: DataFrame, names: DataFrame, out: str) -> int:
@@ -79,34 +86,35 @@ def _write_images(images: DataFrame, names: DataFrame, out: str) -> int:
     return sinks.save(sinks.image_files(images.join(names, ["page_id", "channel"])), out)
 
 
-def _size(parsed: DataFrame) -> tuple[int, int]:
-    """The largest height and width of the pages: one row."""
-    r = page_xml.pages(parsed).agg(F.max("img_height").alias("h"), F.max("img_width").alias("w")).first()
-    return r["h"] or 0, r["w"] or 0
+def _sized(rows: DataFrame, parsed: DataFrame, scaling: float, fixed_height: int) -> DataFrame:
+    """rows (page_id as number) with img_height and img_width of their page, and its factor: fixed_height by the page's own height, or scaling."""
+    pages = page_xml.pages(parsed).select(F.xxhash64("page_id").alias("page_id"), F.col("img_height").cast("int"), F.col("img_width").cast("int"))
+    fixed = F.when((F.col("img_height") > 0) & F.lit(fixed_height > 0), F.lit(float(fixed_height)) / F.col("img_height"))
+    return rows.join(pages.withColumn("factor", F.coalesce(fixed, F.lit(float(scaling)))), "page_id", "left")
 
 
 def article_gt(spark: SparkSession, pages: str, out: str, mode: str = "ab_bl", scaling: float = 0.5, fixed_height: int = 0, use_surrounding: bool = False, convex: bool = False, least_width: int = 10) -> int:
     _, parsed, lines = _read(spark, pages)
-    height, width = _size(parsed)
-    factor = fixed_height / height if fixed_height and height else scaling
     outlines = articles.outlines(lines, use_surrounding, least_width, convex)
-    images = groundtruth.article_ground_truth(outlines, lines, height, width, mode, factor)
+    images = groundtruth.article_ground_truth(outlines, _sized(lines, parsed, scaling, fixed_height), mode=mode)
     channels = records.CHANNELS[mode.lower()]
-    named = records.output_names(parsed.where("error IS NULL").select("page_id", F.col("page_id").alias("xml_path")), mode, ".")
+    below = _below(spark, pages, F.col("page_id"))
+    named = records.output_names(parsed.where("error IS NULL").select("page_id", below.alias("xml_path")), mode, ".")
     place = F.array_position(F.array(*map(F.lit, channels)), F.col("kind")) - 1
-    named = named.where(F.col("kind").isin(*channels)).select(F.xxhash64("page_id").alias("page_id"), place.cast("int").alias("channel"), "path")
+    folder = F.regexp_extract(below, r"^(.*/)?[^/]*$", 1)
+    named = named.where(F.col("kind").isin(*channels)).select(F.xxhash64("page_id").alias("page_id"), place.cast("int").alias("channel"), F.concat(folder, "path").alias("path"))
     return _write_images(images, named, out)
 
 
 def block_gt(spark: SparkSession, pages: str, out: str, scaling: float = 1.0, fixed_height: int = 0, shape: str = "polygon") -> int:
     _, parsed, _ = _read(spark, pages)
-    height, width = _size(parsed)
-    factor = fixed_height / height if fixed_height and height else max(0.1, scaling)
     own = page_xml.regions(parsed).withColumns({"key": F.col("page_id"), "box": C.bounds(F.col("points"))}).withColumn("page_id", F.xxhash64("key"))
-    images = groundtruth.text_block_ground_truth(joins.valid_text_regions(own), height, width, factor, shape)
-    name = records.stem(F.col("page_id"))
-    named = parsed.select("page_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("channel"), name.alias("_n"))
-    named = named.select(F.xxhash64("page_id").alias("page_id"), "channel", F.concat(F.lit("C2/"), "_n", F.lit("_GT"), F.col("channel").cast("string"), F.lit(".png")).alias("path"))
+    valid = _sized(joins.valid_text_regions(own), parsed, max(0.1, scaling), fixed_height)
+    images = groundtruth.text_block_ground_truth(valid, shape=shape)
+    below = _below(spark, pages, F.col("page_id"))
+    folder, name = F.regexp_extract(below, r"^(.*/)?[^/]*$", 1), records.stem(F.col("page_id"))
+    named = parsed.select("page_id", F.explode(F.array(F.lit(0), F.lit(1))).alias("channel"), name.alias("_n"), folder.alias("_f"))
+    named = named.select(F.xxhash64("page_id").alias("page_id"), "channel", F.concat("_f", F.lit("C2/"), "_n", F.lit("_GT"), F.col("channel").cast("string"), F.lit(".png")).alias("path"))
     return _write_images(images, named, out)
 
 
@@ -114,7 +122,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
     parser = argparse.ArgumentParser(description=__doc__, formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = parser.add_subparsers(dest="command", required=True)
     options = {
-        cluster: {"min_lines": (int, 2), "min_article": (int, 1), "factor": (float, 1.25), "max_d": (int, 500), "target": (float, 50.0)},
+        cluster: {"min_lines": (int, 2), "min_article": (int, 1), "factor": (float, 1.25), "max_d": (int, 500), "target": (float, 50.0), "spacing": (int, 5)},
         regions: {"spacing": (float, 50.0), "max_d": (int, 100), "alpha": (float, 75.0)},
         article_gt: {"mode": (str, "ab_bl"), "scaling": (float, 0.5), "fixed_height": (int, 0), "use_surrounding": (truth, False), "convex": (truth, False), "least_width": (int, 10)},
         block_gt: {"scaling": (float, 1.0), "fixed_height": (int, 0), "shape": (str, "polygon")},

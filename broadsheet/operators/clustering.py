@@ -26,7 +26,7 @@ def boxed(lines: DataFrame) -> DataFrame:
 
 def interline_distances(lines: DataFrame, max_d: int = 500) -> DataFrame:
     """boxed lines with dist: the least vertical distance to another line of the page whose extent in x
-    meets the line's, at most max_d. Exact for horizontal baselines; for slanted ones see slanted_distances().
+    meets the line's, at most max_d. Exact for horizontal baselines; distances() serves lines of any direction.
 
     Each line asks the buckets of max_d pixels that lie within max_d of it; the other side stands in one.
     """
@@ -78,7 +78,8 @@ def slanted_distances(lines: DataFrame, spacing: int = 5, max_d: int = 500) -> D
     angle = F.when(spread == 0, F.lit(np.pi / 2)).otherwise(F.atan((F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")) / spread))
     rows = rows.withColumn("_angle", angle).withColumns({"ox": F.cos("_angle"), "oy": F.sin("_angle")})
     ends = lambda pts: (F.element_at(pts, 1), F.element_at(pts, -1))
-    top, low = F.floor(F.col("box.y") / max_d), F.floor((F.col("box.y") + F.col("box.h")) / max_d)
+    reach = max_d + 2 * spacing  # points further apart count for nothing
+    top, low = F.floor(F.col("box.y") / reach), F.floor((F.col("box.y") + F.col("box.h")) / reach)
     other = rows.select("page_id", F.explode(F.sequence(top, low)).alias("_slot"), F.col("idx").alias("_idx"), F.col("pts").alias("_pts"))
     asks = rows.withColumn("_slot", F.explode(F.sequence(top - 1, low + 1)))
     along = lambda p, q: (q["x"] - p["x"]) * F.col("ox") + (q["y"] - p["y"]) * F.col("oy")
@@ -92,6 +93,58 @@ def slanted_distances(lines: DataFrame, spacing: int = 5, max_d: int = 500) -> D
     return rows.select("page_id", "idx").join(least, ["page_id", "idx"], "left").withColumn("dist", F.least(F.coalesce("_d", F.lit(float(max_d))), F.lit(float(max_d)))).drop("_d")
 
 
+def _page_distances(lines: list[np.ndarray], spacing: float, most: float) -> list[float]:
+    """slanted_distances() of the lines of a page, each as its resampled points. A line looks at the others by the
+    gap between boxes, and stops at a gap that its least distance so far rules out."""
+    low, high = np.array([p.min(0) for p in lines]), np.array([p.max(0) for p in lines])
+    out = []
+    for i, a in enumerate(lines):
+        n, (sx, sy) = len(a), a.sum(0)
+        spread = n * (a[:, 0] ** 2).sum() - sx * sx
+        angle = np.arctan((n * (a[:, 0] * a[:, 1]).sum() - sx * sy) / spread) if spread else np.pi / 2
+        along, across = np.array([np.cos(angle), np.sin(angle)]), np.array([-np.sin(angle), np.cos(angle)])
+        order = np.argsort(a @ along, kind="stable")
+        own, own_across = (a @ along)[order], (a @ across)[order]
+        gap = np.hypot(*np.maximum(0, np.maximum(low - high[i], low[i] - high)).T)
+        gap[i] = np.inf
+        others, best = np.argsort(gap, kind="stable"), float(most)
+        for k in range(0, len(others), 12):
+            some = [j for j in others[k : k + 12] if gap[j] <= np.hypot(best, 2 * spacing)]
+            ends = a[[0, -1]] @ along
+            apart = [(lines[j][[0, -1]] @ along)[None] - ends[:, None] for j in some]
+            some = [j for j, e in zip(some, apart) if e.min() <= 0 <= e.max()]
+            if some:
+                b = np.vstack([lines[j] for j in some])
+                first, last = (np.searchsorted(own, b @ along + d, side) for d, side in ((-2 * spacing, "left"), (2 * spacing, "right")))
+                near = last - first
+                if near.any():
+                    at = np.repeat(first - (np.cumsum(near) - near), near) + np.arange(near.sum())
+                    best = min(best, float(np.abs(own_across[at] - np.repeat(b @ across, near)).min()))
+            if k + 12 < len(others) and gap[others[k + 12]] > np.hypot(best, 2 * spacing):
+                break
+        out.append(best)
+    return out
+
+
+def distances(lines: DataFrame, spacing: int = 5, max_d: int = 500) -> DataFrame:
+    """boxed lines with dist, for baselines of any direction.
+
+    Pages of horizontal baselines alone take interline_distances(), which is exact for them and all joins; others are a
+    fold over the page's points.
+    """
+    rows = boxed(lines).withColumn("_flat", F.max("box.h").over(Window.partitionBy("page_id")) == 0)
+    schema = "page_id long, idx long, dist double"
+
+    def run(page: pa.Table) -> pa.Table:
+        pts = [np.array([(p["x"], p["y"]) for p in r], dtype=float) for r in page["pts"].to_pylist()]
+        return pa.table({"page_id": page["page_id"], "idx": page["idx"], "dist": pa.array(_page_distances(pts, spacing, max_d), pa.float64())})
+
+    flat = interline_distances(rows.where("_flat").drop("_flat"), max_d)
+    slanted = rows.where("not _flat").drop("_flat")
+    found = slanted.select("page_id", "idx", resampled(F.col("baseline"), spacing).alias("pts")).groupBy("page_id").applyInArrow(run, schema)
+    return flat.unionByName(slanted.join(found, ["page_id", "idx"]).select(*flat.columns))
+
+
 def mean_distance(positive: Column, exact: bool) -> Column:
     """Mean of the positive distances of a page; the inexact form divides by a count that is a trifle larger."""
     n, total = F.count(positive), F.coalesce(F.sum(positive), F.lit(0.0))
@@ -190,10 +243,10 @@ def article_tags(labels: DataFrame) -> DataFrame:
     return labels.select("page_id", "idx", F.when(F.col("label") != NOISE, F.concat(F.lit("a"), F.col("label").cast("string"))).alias("article_id"))
 
 
-def cluster(lines: DataFrame, min_lines: int = 2, min_article: int = 1, factor: float = 1.25, max_d: int = 500, target: float = 0) -> DataFrame:
+def cluster(lines: DataFrame, min_lines: int = 2, min_article: int = 1, factor: float = 1.25, max_d: int = 500, target: float = 0, spacing: int = 5) -> DataFrame:
     """Labels of all lines. target > 0 rescales each page to that mean distance first."""
-    rows = interline_distances(lines, max_d)
+    rows = distances(lines, spacing, max_d)
     if target > 0:
-        rows = interline_distances(rescaled_lines(rows, target), max_d)
+        rows = distances(rescaled_lines(rows, target), spacing, max_d)
     rows = with_mean(rows)
     return dbscan(rows, neighbours(rows, factor), min_lines, min_article)

@@ -85,9 +85,15 @@ def _schema():
     return to_arrow_schema(StructType.fromDDL(IMAGES))
 
 
-def article_ground_truth(outlines: DataFrame, lines: DataFrame, height: int, width: int, mode: str = "ab_bl", factor: float = 0.5) -> DataFrame:
-    """Images of every page that has lines. outlines: page_id, article_id, points; lines: page_id, idx, baseline.
-    Outlines without article are not drawn."""
+def _size_of(page: pa.Table, height: int, width: int, factor: float) -> tuple[int, int, float]:
+    """height, width and factor: the page's own columns img_height, img_width and factor where it has them."""
+    own = [page[c][0].as_py() if c in page.column_names else None for c in ("img_height", "img_width", "factor")]
+    return tuple(given if found is None else found for found, given in zip(own, (height, width, factor)))
+
+
+def article_ground_truth(outlines: DataFrame, lines: DataFrame, height: int = 0, width: int = 0, mode: str = "ab_bl", factor: float = 0.5) -> DataFrame:
+    """Images of every page that has lines. outlines: page_id, article_id, points; lines: page_id, idx, baseline, and
+    img_height, img_width and factor where pages differ in them. Outlines without article are not drawn."""
     arrow = _schema()
 
     def xy(rows) -> list:
@@ -97,19 +103,22 @@ def article_ground_truth(outlines: DataFrame, lines: DataFrame, height: int, wid
         if not own.num_rows:
             return arrow.empty_table()
         drawn = [p for p, a in zip(shapes["points"].to_pylist(), shapes["article_id"].to_pylist()) if a is not None]
-        images = article_channels(mode, xy(drawn), xy(own.sort_by("idx")["baseline"].to_pylist()), factor, height, width)
+        h, w, f = _size_of(own, height, width, factor)
+        images = article_channels(mode, xy(drawn), xy(own.sort_by("idx")["baseline"].to_pylist()), f, h, w)
         return pa.Table.from_pylist(_image_rows(own["page_id"][0].as_py(), list(images.values())), schema=arrow)
 
     return by_page(outlines).cogroup(by_page(lines)).applyInArrow(run, IMAGES)
 
 
-def text_block_ground_truth(regions: DataFrame, height: int, width: int, factor: float = 1.0, shape: str = "polygon") -> DataFrame:
-    """Two images of each page: its regions (page_id, points) filled, and the rest; disjoint."""
+def text_block_ground_truth(regions: DataFrame, height: int = 0, width: int = 0, factor: float = 1.0, shape: str = "polygon") -> DataFrame:
+    """Two images of each page: its regions (page_id, points, and img_height, img_width and factor where pages differ in
+    them) filled, and the rest; disjoint."""
     arrow = _schema()
 
     def run(page: pa.Table) -> pa.Table:
         polygons = [[(p["x"], p["y"]) for p in r] for r in page["points"].to_pylist() if r]
-        filled = region_image(polygons, factor, height, width, True, shape)
+        h, w, f = _size_of(page, height, width, factor)
+        filled = region_image(polygons, f, h, w, True, shape)
         return pa.Table.from_pylist(_image_rows(page["page_id"][0].as_py(), disjoint_images([filled, other_image(filled)])), schema=arrow)
 
     return by_page(regions).applyInArrow(run, IMAGES)

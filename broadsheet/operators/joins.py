@@ -63,10 +63,19 @@ def with_distance(lines: DataFrame, distances: DataFrame) -> DataFrame:
     return lines.join(distances.select("page_id", "idx"), ["page_id", "idx"], "left_semi")
 
 
-def crossed_regions(lines: DataFrame, regions: DataFrame) -> DataFrame:
-    """page_id, region_id, n: lines of the page that have a point inside each region; zero where there are none."""
-    side = lines.where(C.valid_baseline(F.col("baseline"))).select(F.col("page_id").alias("_page"), "baseline", C.bounds(F.col("baseline")).alias("_b"))
+def crossed_regions(lines: DataFrame, regions: DataFrame, step: int = 256) -> DataFrame:
+    """page_id, region_id, n: lines of the page that have a point inside each region; zero where there are none.
+
+    Lines and regions meet by page and strips of `step` pixels, each pair in the strip where its overlap begins.
+    """
+    def strips(b):
+        return F.explode(F.sequence(F.floor(b["y"] / step), F.floor((b["y"] + b["h"]) / step)))
+
+    side = lines.where(C.valid_baseline(F.col("baseline"))).select("page_id", "baseline", C.bounds(F.col("baseline")).alias("_b"))
+    side = side.withColumn("_strip", strips(F.col("_b")))
     b = F.col("box")
     near = (F.col("_b.x") < b["x"] + b["w"]) & (F.col("_b.x") + F.col("_b.w") > b["x"]) & (F.col("_b.y") < b["y"] + b["h"]) & (F.col("_b.y") + F.col("_b.h") >= b["y"])
-    met = regions.join(side, (F.col("page_id") == F.col("_page")) & near & C.line_meets_rect(F.col("baseline"), b), "left")
-    return met.groupBy("page_id", "region_id").agg(F.count("_page").alias("n"))
+    begins = F.floor(F.greatest(F.col("_b.y"), b["y"]) / step) == F.col("_strip")
+    met = regions.select("page_id", "region_id", "box", strips(b).alias("_strip")).join(side, ["page_id", "_strip"])
+    counts = met.where(near & begins & C.line_meets_rect(F.col("baseline"), b)).groupBy("page_id", "region_id").agg(F.count("*").alias("n"))
+    return regions.select("page_id", "region_id").distinct().join(counts, ["page_id", "region_id"], "left").select("page_id", "region_id", F.coalesce("n", F.lit(0)).alias("n"))

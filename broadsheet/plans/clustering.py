@@ -75,13 +75,18 @@ def expanded_boxes(spark, sf_dir):
 
 
 def slanted_interline_distance(spark, sf_dir):
-    """Lines of three points; rounded, as sines differ in their last digits between machines."""
-    return O.slanted_distances(slanted(spark, sf_dir), 50, 200).select("page_id", "idx", F.round("dist", 6).alias("dist"))
+    """Lines of three points, with the spacing and limit of text regions; rounded, as sines differ in their last digits."""
+    return O.slanted_distances(slanted(spark, sf_dir), 50, 100).select("page_id", "idx", F.round("dist", 6).alias("dist"))
+
+
+def slanted_clustering(spark, sf_dir):
+    """The flagship on baselines that are not horizontal."""
+    return O.article_tags(O.cluster(slanted(spark, sf_dir)))
 
 
 QUERIES = {f.__name__: f for f in (
     article_clustering, article_clustering_rescaled, clusters_of_three, border_clusters, interline_distance, mean_interline_distance,
-    rescaled_baselines, neighbour_counts, articles_of_page, expanded_boxes, slanted_interline_distance,
+    rescaled_baselines, neighbour_counts, articles_of_page, expanded_boxes, slanted_interline_distance, slanted_clustering,
 )}
 
 # ---- DuckDB -----------------------------------------------------------------------------------

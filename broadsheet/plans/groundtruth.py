@@ -110,4 +110,25 @@ QUERIES = {f.__name__: f for f in (
     subregions, text_regions, ground_truth_ab_bl, ground_truth_ab, ground_truth_a, ground_truth_ab_a, text_block_ground_truth, rotated_pixels, quarter_turn,
 )}
 
-SQL = {"quarter_turn": f"WITH p AS ({fixtures.PIXELS_DUCKDB}) SELECT img_id, y, x, v FROM (SELECT img_id, x AS y, 7 - y AS x, v FROM p)"}
+#: Valid regions as runs of pixels by row of the image; a run counts what no run before it covers.
+_BLOCKS = f"""WITH r AS MATERIALIZED ({fixtures.REGIONS}), valid AS (SELECT * FROM r a WHERE region_type = 'TextRegion' AND NOT EXISTS (
+  SELECT 1 FROM r b WHERE b.region_type = 'GraphicRegion' AND a.page_id = b.page_id AND (
+    (b.x <= a.x AND b.y <= a.y AND b.x + b.w >= a.x + a.w AND b.y + b.h >= a.y + a.h)
+    OR (least(a.x + a.w, b.x + b.w) - greatest(a.x, b.x) > 20 AND least(a.y + a.h, b.y + b.h) - greatest(a.y, b.y) > 20)))),
+runs AS (SELECT page_id, trunc(x * 0.25)::INT AS a, trunc((x + w) * 0.25)::INT AS b, unnest(range(trunc(y * 0.25)::INT, trunc((y + h) * 0.25)::INT + 1)) AS line FROM valid),
+fresh AS (
+  SELECT page_id, greatest(0, b - greatest(a, coalesce(max(b) OVER (PARTITION BY page_id, line ORDER BY a, b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 1, a)) + 1) AS n FROM runs),
+filled AS (SELECT page_id, sum(n)::BIGINT AS n FROM fresh GROUP BY page_id)
+SELECT page_id, 0::INT AS channel, 2100::INT AS h, 500::INT AS w, n AS n_white FROM filled UNION ALL SELECT page_id, 1::INT, 2100::INT, 500::INT, 2100 * 500 - n FROM filled"""
+
+#: The pixel that each one takes after a turn by 15 degrees about the middle.
+_TURNED = f"""WITH p AS MATERIALIZED ({fixtures.PIXELS_DUCKDB}), t AS (
+  SELECT img_id, y, x, round(cos(radians(15)) * (y - 3.5::DOUBLE) - sin(radians(15)) * (x - 3.5::DOUBLE) + 3.5::DOUBLE)::INT AS sy,
+    round(sin(radians(15)) * (y - 3.5::DOUBLE) + cos(radians(15)) * (x - 3.5::DOUBLE) + 3.5::DOUBLE)::INT AS sx FROM p)
+SELECT t.img_id, t.y, t.x, coalesce(p.v, 0)::INT AS v FROM t LEFT JOIN p ON p.img_id = t.img_id AND p.y = sy AND p.x = sx"""
+
+SQL = {
+    "quarter_turn": f"WITH p AS ({fixtures.PIXELS_DUCKDB}) SELECT img_id, y, x, v FROM (SELECT img_id, x AS y, 7 - y AS x, v FROM p)",
+    "rotated_pixels": _TURNED,
+    "text_block_ground_truth": _BLOCKS,
+}

@@ -146,6 +146,63 @@ def test_merging_needs_a_free_gap():
     assert len(A.merged_outlines([a, inner])) == 1
 
 
+def _naive_distances(lines, spacing, most):
+    """Points of each line against points of every other, as the text of slanted_distances says."""
+    import math
+
+    out = []
+    for i, a in enumerate(lines):
+        n, sx, sy = len(a), sum(x for x, _ in a), sum(y for _, y in a)
+        spread = n * sum(x * x for x, _ in a) - sx * sx
+        t = math.atan((n * sum(x * y for x, y in a) - sx * sy) / spread) if spread else math.pi / 2
+        u, v = math.cos(t), math.sin(t)
+        best = float(most)
+        for j, b in enumerate(lines):
+            ends = [(q[0] - p[0]) * u + (q[1] - p[1]) * v for p in (a[0], a[-1]) for q in (b[0], b[-1])]
+            if j != i and min(ends) <= 0 <= max(ends):
+                for p in a:
+                    for q in b:
+                        if abs((q[0] - p[0]) * u + (q[1] - p[1]) * v) <= 2 * spacing:
+                            best = min(best, abs((q[0] - p[0]) * v - (q[1] - p[1]) * u))
+        out.append(best)
+    return out
+
+
+def test_distances_of_any_direction(spark):
+    rng = random.Random(3)
+    pages = {1: [[(0, 0), (1000, 300)], [(900, 320), (1000, 350)]]}
+    for page in range(2, 7):
+        pages[page] = []
+        for _ in range(25):
+            x, y, tilt = rng.randint(0, 900), rng.randint(0, 1500), 0 if page == 2 else rng.randint(-60, 60)
+            pages[page].append([(x, y), (x + 150, y + tilt // 2), (x + rng.randint(200, 500), y + tilt)])
+    pages[7] = [[(5, 5), (5, 400)], [(30, 10), (30, 380)], [(500, 0), (900, 0)]]
+    rows = [(p, k, [{"x": x, "y": y} for x, y in line]) for p, lines in pages.items() for k, line in enumerate(lines)]
+    table = spark.createDataFrame(rows, "page_id long, idx long, baseline array<struct<x: int, y: int>>")
+    points = {(r["page_id"], r["idx"]): [tuple(p) for p in r["pts"]] for r in table.select("page_id", "idx", O.resampled(F.col("baseline"), 10).alias("pts")).collect()}
+    want = {}
+    for p, lines in pages.items():
+        for k, d in enumerate(_naive_distances([points[p, k] for k in range(len(lines))], 10, 200)):
+            want[p, k] = d
+    for got in (O.distances(table, 10, 200), O.slanted_distances(table, 10, 200)):
+        found = {(r["page_id"], r["idx"]): r["dist"] for r in got.collect()}
+        assert found.keys() == want.keys()
+        assert all(abs(found[k] - want[k]) < 1e-6 for k in want)
+    near = {r["idx"]: r["dist"] for r in O.distances(table, 5, 500).where("page_id = 1").collect()}
+    assert 40 < near[0] < 55
+    assert O.cluster(table).count() == len(rows)
+
+
+def test_boxes_part_in_as_few_steps_as_one_by_one():
+    rng = random.Random(8)
+    for _ in range(3000):
+        a, b = ((rng.randint(0, 30), rng.randint(0, 30), rng.randint(0, 40), rng.randint(0, 40)) for _ in range(2))
+        c, d = A.apart(a, b)
+        assert min(P.overlap(c, d)) < 0 or (c, d) == (a, b)
+        if (c, d) != (a, b):
+            assert min(P.overlap(a, b)) >= 0 and P.holds(a, c) and P.holds(b, d) or min(c[2:] + d[2:]) < 0
+
+
 def test_stretching_stops_at_white():
     ink = np.ones((2000, 3000), int)
     ink[90:92] = 0

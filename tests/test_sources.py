@@ -111,6 +111,19 @@ def test_commands(spark, tmp_path):
         cli.main(["article-gt", "x", "y", "--convex", "perhaps"], spark)
 
 
+def test_commands_keep_folders_and_sizes(spark, tmp_path):
+    from broadsheet import cli
+
+    (tmp_path / "in" / "x").mkdir(parents=True)
+    (tmp_path / "in" / "a.xml").write_text(PAGE)
+    (tmp_path / "in" / "x" / "a.xml").write_text(PAGE.replace('imageWidth="800"', 'imageWidth="700"').replace('imageHeight="600"', 'imageHeight="900"'))
+    for command, more in (("text", []), ("article-gt", ["--fixed_height", "300"])):
+        assert cli.main([command, str(tmp_path / "in"), (tmp_path / command).as_uri(), *more], spark) == 0
+    assert {p.relative_to(tmp_path / "text").as_posix() for p in (tmp_path / "text").rglob("*.txt")} == {"a.xml.txt", "x/a.xml.txt"}
+    made = {p.relative_to(tmp_path / "article-gt").as_posix(): png.read_grey(p.read_bytes()).shape for p in (tmp_path / "article-gt").rglob("*.png")}
+    assert made == {f"C3/a_GT{k}.png": (300, 400) for k in range(3)} | {f"x/C3/a_GT{k}.png": (300, 233) for k in range(3)}
+
+
 def test_stretched_rectangles(spark):
     from broadsheet.operators import articles as A
 
