@@ -10,7 +10,7 @@ is orthogonal to all of them, and its mask holds none of those bits: every pair
 agrees on the whole of at least one of the 2^(radius+1)-1 masks. So buckets of equal masked bits
 miss no pair.
 
-Only different fingerprints are compared. They travel in runs of 8 bytes each, by mask and partition, and the
+Only different fingerprints are compared. They travel as runs of 8 bytes each, a row for each task and partition, and the
 receiver makes the keys anew. Buckets above a size that coarse counts show (a fixed
 number of counters, whatever the input) are dealt out again by intact pairs of runs of the bits outside
 the mask, of which at least one pair is intact within the radius, so no bucket meets in one
@@ -51,7 +51,7 @@ RUN, SALTS = 200_000, 32
 #: Tasks whose forests of links become one.
 MERGED = 16
 #: Bits by which fingerprints of words may differ, and documents of a candidate group that are checked together.
-WORD_RADIUS, CHECKED = 7, 512
+WORD_RADIUS, CHECKED = 7, 128
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -198,12 +198,26 @@ class Tables:
                 yield k * len(self.masks) + t, fps[over], self.keys(fps[over], k * len(self.masks) + t)
 
 
+def to_blob(tables: list[int], runs_: list[np.ndarray]) -> bytes:
+    """Fingerprints by table: their number, the tables, the sizes of their runs, the runs."""
+    head = np.array([len(tables), *tables, *map(len, runs_)], dtype="<i8")
+    return head.tobytes() + b"".join(r.tobytes() for r in runs_)
+
+
+def from_blob(raw) -> list[tuple[int, np.ndarray]]:
+    words = np.frombuffer(raw, dtype="<u8")
+    n = int(words[0])
+    tables, sizes = words[1 : n + 1].astype(np.int64).tolist(), words[n + 1 : 2 * n + 1].astype(np.int64)
+    return list(zip(tables, np.split(words[2 * n + 1 :], np.cumsum(sizes)[:-1])))
+
+
 def forest_links(batches, tables: Tables):
-    """Rows table, run of fingerprints, in; links src, dst that span what is near in their buckets out."""
+    """Blobs of fingerprints by table in; links src, dst that span what is near in their buckets out."""
     held: dict[int, list[np.ndarray]] = {}
     for b in batches:
-        for t, raw in zip(b.column(0).to_pylist(), b.column(1)):
-            held.setdefault(t, []).append(np.frombuffer(raw.as_buffer(), dtype="<u8"))
+        for raw in b.column(0):
+            for t, fps in from_blob(raw.as_buffer()):
+                held.setdefault(t, []).append(fps)
     if not held:
         return
     nodes = np.unique(np.concatenate([np.unique(np.concatenate(x)) for x in held.values()]))
@@ -263,14 +277,19 @@ def near_links(different: DataFrame, radius: int = RADIUS, hot: int = HOT) -> Da
         held, n = [], 0
 
         def out():
+            by_part: dict[int, tuple[list, list]] = {}  # a row for each partition, whatever the number of tables
             for t, fps, key in tables.of(np.concatenate(held), again):
                 part = (key >> np.uint64(32)).astype(np.int64) * parts >> 32
                 order = np.argsort(part, kind="stable")
                 part, fps = part[order], fps[order]
-                edges = np.flatnonzero(np.concatenate(([True], part[1:] != part[:-1], [True]))) if len(part) else [0]
-                blobs = [fps[a:b].tobytes() for a, b in zip(edges[:-1], edges[1:])]
-                yield pa.record_batch([pa.array(part[edges[:-1]].astype(np.int32)), pa.array([t] * len(blobs), pa.int32()), pa.array(blobs, pa.binary())], ["part", "t", "fps"])
+                full, firsts = np.unique(part, return_index=True)
+                for p, run in zip(full.tolist(), np.split(fps, firsts[1:])):
+                    ts, fs = by_part.setdefault(p, ([], []))
+                    ts.append(t)
+                    fs.append(run)
             held.clear()
+            blobs = [to_blob(*x) for x in by_part.values()]
+            yield pa.record_batch([pa.array(list(by_part), pa.int32()), pa.array(blobs, pa.binary())], ["part", "fps"])
 
         for b in batches:
             held.append(b.column(0).to_numpy().view(np.uint64))
@@ -281,8 +300,8 @@ def near_links(different: DataFrame, radius: int = RADIUS, hot: int = HOT) -> Da
         if held:
             yield from out()
 
-    rows = different.select("fp").mapInArrow(dealt, "part int, t int, fps binary").repartitionById(parts, F.col("part"))
-    links = rows.select("t", "fps").mapInArrow(lambda bs: forest_links(bs, tables), "src long, dst long")
+    rows = different.select("fp").mapInArrow(dealt, "part int, fps binary").repartitionById(parts, F.col("part"))
+    links = rows.select("fps").mapInArrow(lambda bs: forest_links(bs, tables), "src long, dst long")
     # a large group is spanned anew by every task that sees it; the forests of MERGED tasks become one
     groups = max(1, parts // MERGED)
     return links.repartitionById(groups, F.pmod(F.spark_partition_id(), F.lit(groups))).mapInArrow(merged_forests, "src long, dst long")
