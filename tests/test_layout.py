@@ -415,3 +415,34 @@ def test_distances_of_horizontal_pages_are_those_of_the_join(spark):
     want = {(r["page_id"], r["idx"]): r["dist"] for r in O.interline_distances(table(spark, rows), 60).collect()}
     got = {(r["page_id"], r["idx"]): r["dist"] for r in O.distances(table(spark, rows), 5, 60).collect()}
     assert got == want
+
+
+def test_triangles_keep_their_places_while_points_come_in(monkeypatch):
+    rng = random.Random(9)
+    points = np.array(sorted({(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(400)}))
+    sorts, unique = [], np.unique
+    monkeypatch.setattr(np, "unique", lambda *a, **b: sorts.append(1) or unique(*a, **b))
+    tri = P.delaunay(points)
+    assert not sorts  # one for each point before
+    p = points.astype(float)
+    a, b, c = p[tri[:, 0]], p[tri[:, 1]], p[tri[:, 2]]
+    twice = np.abs((b - a)[:, 0] * (c - a)[:, 1] - (b - a)[:, 1] * (c - a)[:, 0])
+    assert twice.sum() / 2 == pytest.approx(P.area(P.hull(points)), rel=0.01)
+    assert set(tri.ravel().tolist()) == set(range(len(points)))
+
+
+def test_few_lines_find_their_distances_as_the_whole_text_says():
+    rng = random.Random(21)
+    for _ in range(60):
+        pts = [[(x := rng.randint(0, 90), y := rng.randint(0, 90)), (x + rng.randint(1, 60), y + rng.randint(-9, 9))] for _ in range(rng.randint(1, 8))]
+        got = A.distances([{"points": np.array(p)} for p in pts])
+        want = _naive_distances([[tuple(map(float, q)) for q in P.resample(p, 5)] for p in pts], 5, 50)
+        assert got == pytest.approx(want, abs=1e-6)
+
+
+def test_parts_of_a_page_come_as_columns(spark):
+    rows = table(spark, [line(1, k, [(10, 40 * k + 20), (90, 40 * k + 20)], a) for k, a in enumerate("aabb")])
+    got = A.subregions(rows, (0, 0, 128, 200), 1 / 10).orderBy("rect_id").collect()
+    lines = [{"idx": k, "points": np.array([(10, 40 * k + 20), (90, 40 * k + 20)]), "surr": None, "article": a} for k, a in enumerate("aabb")]
+    want = A.quadtree((0, 0, 128, 200), lines, 10, 20)
+    assert [(tuple(r["r"]), r["line_ids"], r["a_ids"]) for r in got] == [(p["box"], p["lines"], p["a_ids"]) for p in want]
