@@ -8,8 +8,9 @@ template text, so they are deleted.
 Differencing alone leaves menus and adverts that differ on every page, and deletes what two
 articles of a host both carry. So each block also has a role from its elements: blocks in navigation, headers,
 footers, asides, forms, adverts, notices and comments go. Where a page has an article or main element that is
-left, its text is the blocks inside, and no page is compared: roles replace differencing. Other pages are
-differenced. A neighbour that leaves under COPY of a page's text is a copy and no template, so the other
+left, its text is the blocks inside, less the groups (div, list, table and the like) that differencing finds to be template:
+all their blocks are shared with both of two pages that are no copies. A single shared line beside others that are not shared
+is a line that two articles carry, and stays. Other pages are differenced block by block. There, a neighbour that leaves under COPY of a page's text is a copy and no template, so the other
 neighbour is compared, then the last page before both that was no copy of the one after it. Where all are copies,
 what the least like of them leaves stays, or all. extract(roles=False) gives plain differencing.
 
@@ -49,6 +50,8 @@ INSIDE = frozenset(("article", "main"))
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 #: Elements within a block; all others begin and end blocks.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr input".split())
+#: Elements that group blocks; in an article differencing deletes a group as a whole, or not.
+GROUPS = frozenset("div section ul ol dl table figure details fieldset address center".split())
 #: Words of class, id or role that mark what is no article.
 APART_NAMES = frozenset(
     "ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices "
@@ -67,6 +70,7 @@ class Block:
     text: str
     inside: bool  # in an article or main element
     apart: bool  # in something that is no article
+    groups: tuple[int, ...] = ()  # numbers of the groups inside the article that it is in
 
 
 def _apart(tag: str, attributes: str, in_article: bool) -> bool:
@@ -84,18 +88,19 @@ def _apart(tag: str, attributes: str, in_article: bool) -> bool:
 def blocks(page: str | None) -> list[Block]:
     """The blocks of a page in order, with white space made one space and empty ones left out."""
     out: list[Block] = []
-    open_: list[tuple[str, bool, bool, bool]] = []  # tag, hidden, inside, apart, each of it or what it is in
+    open_: list[tuple[str, bool, bool, bool, tuple]] = []  # tag, hidden, inside, apart, groups, each of it or what it is in
+    number = 0
     held: list[str] = []
     at, page = 0, page or ""
 
-    def state() -> tuple[str, bool, bool, bool]:
-        return open_[-1] if open_ else ("", False, False, False)
+    def state() -> tuple[str, bool, bool, bool, tuple]:
+        return open_[-1] if open_ else ("", False, False, False, ())
 
     def close() -> None:
         text = " ".join(html_.unescape("".join(held)).split())
         held.clear()
         if text:
-            out.append(Block(text, state()[2], state()[3]))
+            out.append(Block(text, *state()[2:]))
 
     def pop(tag: str) -> None:
         for k in range(len(open_) - 1, -1, -1):
@@ -125,8 +130,10 @@ def blocks(page: str | None) -> list[Block]:
             pop(tag)
         if tag in VOID or attributes.rstrip().endswith("/"):
             continue
-        _, hidden, inside, apart = state()
-        open_.append((tag, hidden or tag in HIDDEN, inside or tag in INSIDE, apart or _apart(tag, attributes, inside)))
+        _, hidden, inside, apart, groups = state()
+        number += 1
+        groups = groups + (number,) if inside and tag in GROUPS else groups
+        open_.append((tag, hidden or tag in HIDDEN, inside or tag in INSIDE, apart or _apart(tag, attributes, inside), groups))
         if tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>?", re.I).search(page, at)
             at = end.end() if end else len(page)
@@ -189,6 +196,27 @@ def copied(page: list[Block], other: list[Block]) -> bool:
     return sum(len(b.text) for b in page if b.text not in there) < COPY * sum(len(b.text) for b in page)
 
 
+def template_groups(page: list[Block], near: list[list[Block]]) -> set[int]:
+    """Groups inside the article whose blocks are all shared, by longest common subsequence, with both of the two nearest
+    pages that are no copies; none where there are not two."""
+    texts, shared = [b.text for b in page], []
+    inner = {b.text for b in page if b.groups}
+    if not inner:
+        return set()
+    for other in near:
+        if not copied(page, other):
+            there = [b.text for b in other]
+            if inner.isdisjoint(there):
+                return set()
+            shared.append({i for i, _ in common_lines(texts, there)})
+            if len(shared) == 2:
+                break
+    else:
+        return set()
+    own = [g for i, b in enumerate(page) for g in b.groups if i not in shared[0] or i not in shared[1]]
+    return {g for b in page for g in b.groups}.difference(own)
+
+
 def main_text(page: list[Block], near: list[list[Block]], roles: bool = True) -> str:
     """What the roles of blocks, or differencing from the pages near (nearest first), leave of a page."""
 
@@ -213,6 +241,9 @@ def main_text(page: list[Block], near: list[list[Block]], roles: bool = True) ->
                 most = left
                 break
         kept = most or kept
+    if framed:
+        template = template_groups(page, near)
+        kept = [i for i in kept if template.isdisjoint(page[i].groups)] or kept
     return "\n".join(page[i].text for i in kept)
 
 

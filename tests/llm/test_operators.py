@@ -820,3 +820,16 @@ def test_pii(spark, docs, rows, empty):
     out = pii.redact(docs)
     assert out.columns == docs.columns and out.count() == len(rows) and pii.redact(empty).count() == 0
     assert pii.masked(secret, sorted(base)) == secret.replace("me@x.org", "[EMAIL]").replace("and 10.0.0.3", "and [IP]")
+
+
+def test_template_inside_an_article_goes_by_differencing():
+    def page(k, extra=""):
+        return pages.blocks(f"<main><h1>Title {k}</h1><p>Common line.</p><div class=x1><p>Ask the desk</p><ul><li>Print</ul></div><div><p>Own {k}</p><p>Common line.</p></div>{extra}</main>")
+
+    own, one, two = page(1), page(2), page(3)
+    want = "Title 1\nCommon line.\nOwn 1\nCommon line."
+    assert pages.main_text(own, [one, two]) == want
+    assert "Ask the desk" in pages.main_text(own, [one])  # one page tells no template from a line that two articles carry
+    assert "Ask the desk" in pages.main_text(own, [own, one])  # a copy is no second page
+    assert pages.main_text(own, [own, one, two]) == want
+    assert pages.main_text(page(4, "<div>Kept 4</div>"), [one, two]).endswith("Kept 4")
