@@ -419,11 +419,22 @@ def _checked_rows(batches, similarity: float):
     yield from close()
 
 
+def _only(rows: DataFrame, wanted: DataFrame, row: str, column: str) -> DataFrame:
+    """rows whose number `row` is in wanted (column). The numbers travel to all tasks as bitmaps, a bit for each row of the
+    table and no row for stretches without any, so that rows which nothing wants stay out of the exchange of a join."""
+    bits = wanted.groupBy(F.bitmap_bucket_number(column).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(column)).alias("_bits"))
+    byte = F.conv(F.hex(F.expr(f"substring(_bits, cast(bitmap_bit_position({row}) div 8 as int) + 1, 1)")), 16, 10).cast("int")
+    is_set = F.expr(f"cast(bitmap_bit_position({row}) % 8 as int)")
+    met = rows.withColumn("_bucket", F.bitmap_bucket_number(row)).join(F.broadcast(bits), "_bucket")
+    return met.where(F.call_function("bit_get", byte, is_set) == 1).drop("_bucket", "_bits")
+
+
 def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius: int = WORD_RADIUS, hot: int = HOT, block: int = CHECKED) -> DataFrame:
     """One row of each group of near-duplicates, the smallest doc_id (null last), with the columns of docs.
 
     docs must be a table as read from files, so that its rows have the same place in all passes. Only the numbers
-    of dropped rows are joined to the texts: broadcast where their written table is small, else by a shuffle.
+    of dropped rows are joined to the texts: broadcast where their written table is small, else by a shuffle. Of the texts,
+    those of candidate groups alone are shuffled to be checked.
     """
     row = F.monotonically_increasing_id().alias("_row")  # stands for the id, so that repeated rows and null ids are told apart
     numbered = docs.select(F.struct(*docs.columns).alias("whole"), F.col("text").alias("_text"), row)
@@ -448,7 +459,8 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
                 blobs.append(np.unique(shingle_hashes(found, shingle)).tobytes() if found else b"")
             yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(blobs, pa.binary())], ["node", "group", "size", "set"])
 
-    held = numbered.select(F.col("_row").alias("node"), "_text").join(members, "node").select("node", "group", "size", "_text")
+    texts = _only(numbered.select(F.col("_row").alias("node"), "_text"), members, "node", "node")
+    held = texts.join(members, "node").select("node", "group", "size", "_text")
     checked = held.mapInArrow(sets, "node long, group long, size long, set binary")
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")

@@ -2,8 +2,10 @@
 
 from collections import Counter
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
-from broadsheet.llm import mixing, pii, toxicity
+from broadsheet.llm import mixing, pii, simhash, toxicity
 from test_operators import _similar_groups
 
 SF = "/root/testdata/sf0.001"
@@ -45,3 +47,13 @@ def test_stages(spark):
         fill[r["sequence_id"]] += r["length"]
     assert max(fill.values()) <= 2048
     assert corpus_pipeline.run(spark, SF).count() == len(packed)
+
+
+def test_texts_without_a_candidate_stay_out_of_the_exchange(spark):
+    rows = spark.range(200_000).select("id", F.concat(F.lit("text "), F.col("id").cast("string")).alias("t"))
+    picked = [0, 1, 7, 8, 32767, 32768, 32769, 65535, 99_999, 199_999]
+    wanted = spark.createDataFrame([(k,) for k in picked] * 2, "node long")
+    assert sorted(r["id"] for r in simhash._only(rows, wanted, "id", "node").collect()) == picked
+    far = rows.select((F.col("id") + (5 << 33)).alias("id"), "t")
+    assert simhash._only(far, wanted.select((F.col("node") + (5 << 33)).alias("node")), "id", "node").count() == len(picked)
+    assert simhash._only(rows, wanted.where("node < 0"), "id", "node").count() == 0
