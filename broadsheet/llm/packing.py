@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_of, stash, table
+from .common import column_of, sliced, stash, table, trimmed
 from .tokens import encoder, tokenizer_path
 
 NAME = "op4_packing"
@@ -35,6 +35,9 @@ GROUP = 20_000
 #: Bins that a group releases for each bin above its bound; pieces in the largest groups, about 400 MB.
 RELEASE, LARGEST = 24, 2_000_000
 
+#: Entries of a worker's dictionary of ids before it starts anew, about 60 MB: in the pipeline this stage runs beside a full heap.
+KEPT = 250_000
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -48,8 +51,8 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
     """One row per piece: doc_id, piece, start, length, ids_crc32."""
 
     def pieces(batches):
-        encode = encoder(path or tokenizer_path("byte_bpe_50k.json"), "byte", end_id).encode
-        for batch in batches:
+        encode = encoder(path or tokenizer_path("byte_bpe_50k.json"), "byte", end_id, KEPT).encode
+        for batch in sliced(batches):
             rows = []
             for doc_id, ids in zip(column_of(batch, "doc_id"), encode(column_of(batch, "text"))):
                 rows += [(doc_id, k, s, n, zlib.crc32(ids[4 * s : 4 * (s + n)])) for k, (s, n) in enumerate(cut(len(ids) // 4, capacity))]
@@ -57,7 +60,7 @@ def token_pieces(docs: DataFrame, capacity: int = CAPACITY, path: str | None = N
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pieces, PIECES)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(pieces), PIECES)
 
 
 def lower_bound(counts: np.ndarray, capacity: int) -> int:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_of, table
+from .common import column_of, sliced, table, trimmed
 
 NAME = "op10_pii"
 SQL = None
@@ -486,7 +486,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def found(batches):
         tagger = Tagger(field)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = column_of(batch, "text")
             got = [x for some in chunks(texts) for x in all_spans(tagger, some)]
             counts = [np.bincount([k for _, k, _ in base], minlength=5)[:4] if base else np.zeros(4, dtype=np.int64) for base, _ in got]
@@ -496,7 +496,7 @@ def find(docs: DataFrame, field: Field | None = None) -> DataFrame:
             yield pa.record_batch(cols, ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        found, "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+        trimmed(found), "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
     )
 
 
@@ -519,14 +519,14 @@ def redact(docs: DataFrame, field: Field | None = None) -> DataFrame:
 
     def cleaned(batches):
         tagger = Tagger(field)
-        for batch in batches:
+        for batch in sliced(batches):
             texts = column_of(batch, "text")
             got = [x for some in chunks(texts) for x in all_spans(tagger, some)]
             texts = [masked(t, s) if s else t for t, (_, s) in zip(texts, got)]
             cols = [pa.array(texts, batch.schema.field("text").type) if n == "text" else batch.column(i) for i, n in enumerate(batch.schema.names)]
             yield pa.record_batch(cols, batch.schema.names)
 
-    out = docs.mapInArrow(cleaned, docs.schema)
+    out = docs.mapInArrow(trimmed(cleaned), docs.schema)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in names else out
 
 

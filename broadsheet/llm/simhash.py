@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.components import connected_components
-from .common import column_of, shuffle_parts, stash, table
+from .common import column_of, sliced, shuffle_parts, stash, table, trimmed
 
 NAME = "op2_simhash"
 SQL = None
@@ -352,7 +352,7 @@ def rooted(nodes: DataFrame, links: DataFrame, node: str = "fp") -> DataFrame:
 
 def _word_prints(batches):
     """Rows _row, _id, text to rows _row, _id, fp, copy: the fingerprint of the different words, and a hash of the words in order."""
-    for batch in batches:
+    for batch in sliced(batches):
         fps, copies = [], []
         for text in batch.column(2).to_pylist():
             found = words_of(text)
@@ -439,7 +439,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
     row = F.monotonically_increasing_id().alias("_row")  # stands for the id, so that repeated rows and null ids are told apart
     numbered = docs.select(F.struct(*docs.columns).alias("whole"), F.col("text").alias("_text"), row)
     by_row = docs.select(row, F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("_id"), "text")
-    prints = stash(by_row.mapInArrow(_word_prints, "_row long, _id long, fp long, copy binary"), "words")
+    prints = stash(by_row.mapInArrow(trimmed(_word_prints), "_row long, _id long, fp long, copy binary"), "words")
     least = prints.groupBy("copy").agg(F.min(F.struct("_id", "_row")).alias("least"), F.first("fp").alias("fp"))
     nodes = stash(least.select(F.col("least._row").alias("node"), "least", "fp"), "words-different")
 
@@ -452,7 +452,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
     members = stash(_beside(nodes.select("node", "fp"), in_groups, "fp", "node").select("node", "group", "size"), "words-members")
 
     def sets(batches):
-        for b in batches:
+        for b in sliced(batches):
             blobs = []
             for text in b.column(3).to_pylist():
                 found = words_of(text)
@@ -461,7 +461,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
 
     texts = _only(numbered.select(F.col("_row").alias("node"), "_text"), members, "node", "node")
     held = texts.join(members, "node").select("node", "group", "size", "_text")
-    checked = held.mapInArrow(sets, "node long, group long, size long, set binary")
+    checked = held.mapInArrow(trimmed(sets), "node long, group long, size long, set binary")
     blocks = F.ceil(F.col("size") / block).cast("int")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     checked = checked.withColumn("blocks", blocks).withColumn("block", own)
@@ -469,7 +469,7 @@ def keep_one(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, radius:
     checked = checked.select("group", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"), "block", "node", "set")
     parts = shuffle_parts(docs.sparkSession)
     dealt = checked.repartition(parts, "group", "low", "high").sortWithinPartitions("group", "low", "high", "node")
-    links = dealt.mapInArrow(lambda b: _checked_rows(b, similarity), "src long, dst long")
+    links = dealt.mapInArrow(trimmed(lambda b: _checked_rows(b, similarity)), "src long, dst long")
 
     kept = rooted(nodes.select("node", "least"), links, "node").where("node = least._row").select(F.col("node").alias("_row"))
     dropped = stash(prints.select("_row").join(kept, "_row", "left_anti"), "words-dropped")

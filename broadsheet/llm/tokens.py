@@ -36,16 +36,17 @@ def tokenizer_path(name: str) -> str:
 class Known(dict):
     """piece -> its ids as bytes; pieces not met yet are merged when they are asked for."""
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, kept: int = KEPT):
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
+        self.kept = kept
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {i: as_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(256)}
         self.merge = tokenizer.model.tokenize
 
     def __missing__(self, piece: str) -> bytes:
-        if len(self) >= KEPT:
+        if len(self) >= self.kept:
             self.clear()
         ids = [t.id for t in self.merge(piece.translate(self.letters))]
         found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
@@ -53,9 +54,9 @@ class Known(dict):
 
 
 class Encoder:
-    """kind: a key of PIECES. Every text gets the end id."""
+    """kind: a key of PIECES. Every text gets the end id. kept: entries of the dictionary before it starts anew."""
 
-    def __init__(self, path: str, kind: str, end_id: int):
+    def __init__(self, path: str, kind: str, end_id: int, kept: int = KEPT):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -63,7 +64,7 @@ class Encoder:
         self.end = struct.pack("<I", end_id)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find, self.fold = PIECES[kind].findall, kind == "word"
-        self.known = Known(self.tokenizer)
+        self.known = Known(self.tokenizer, kept)
 
     def whole(self, text: str) -> bytes:
         """The tokenizer's own way."""
@@ -83,6 +84,6 @@ class Encoder:
 
 
 @functools.lru_cache(maxsize=2)
-def encoder(path: str, kind: str, end_id: int) -> Encoder:
+def encoder(path: str, kind: str, end_id: int, kept: int = KEPT) -> Encoder:
     """One for each worker process."""
-    return Encoder(path, kind, end_id)
+    return Encoder(path, kind, end_id, kept)

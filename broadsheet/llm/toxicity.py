@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import column_of, table
+from .common import column_of, sliced, table, trimmed
 
 NAME = "op5_toxicity"
 SQL = None
@@ -160,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
     bounded = F.broadcast(chosen.select(F.col("doc_id").cast("long"), F.col("toxic").cast("int")))  # at most sample rows of 12 bytes
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(bounded, "doc_id")
     # one document for each labelled row, so that what reaches the driver is bounded by the sample
-    bags_ = rows.mapInArrow(bags, "doc_id long, toxic int, bag binary")
+    bags_ = rows.mapInArrow(trimmed(bags), "doc_id long, toxic int, bag binary")
     least = bags_.groupBy("doc_id", "toxic").agg(F.min(F.struct(F.xxhash64("bag"), "bag")).alias("k"))
     got = sorted(least.select("doc_id", "toxic", "k.bag").collect(), key=lambda r: (r["doc_id"], r["toxic"]))
     seen, docs_, y = set(), [], []
@@ -206,11 +206,11 @@ def score(docs: DataFrame, machine: Machine) -> DataFrame:
 
     def scored(batches):
         scorer = Scorer(machine)
-        for batch in batches:
+        for batch in sliced(batches):
             out = scorer(column_of(batch, "text"))
             yield pa.record_batch([batch.column(batch.schema.get_field_index("doc_id")), pa.array(out)], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(scored, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(scored), "doc_id long, score double")
 
 
 def keep_harmless(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
@@ -219,10 +219,10 @@ def keep_harmless(docs: DataFrame, labels: DataFrame, threshold: float = THRESHO
 
     def kept(batches):
         scorer = Scorer(machine)
-        for batch in batches:
+        for batch in sliced(batches):
             yield batch.filter(pa.array(scorer(column_of(batch, "text")) < threshold))
 
-    return docs.mapInArrow(kept, docs.schema).select(*names)
+    return docs.mapInArrow(trimmed(kept), docs.schema).select(*names)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,10 +7,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 
 from broadsheet.llm import fingerprints, mixing, packing, pages, pii, quality, rangecoder, simhash, substrings, tokenids, tokens, toxicity
+from broadsheet.llm.common import trimmed
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = (
@@ -342,6 +344,50 @@ def test_tokens_are_the_tokenizers_own():
             assert ids[:-4] == e.whole(text or "") and ids[-4:] == e.end
 
 
+class Captured:
+    """Stands for a DataFrame, and keeps the function that works on its batches."""
+
+    columns, schema = ["doc_id", "text"], None
+
+    def select(self, *_):
+        return self
+
+    def mapInArrow(self, run, _):
+        self.run = run
+        return self
+
+
+def test_workers_hold_few_texts_and_a_bounded_dictionary(spark, monkeypatch):
+    monkeypatch.setattr(packing, "KEPT", 50)
+    machine = toxicity.Machine(0.0, {}, np.zeros(0), np.zeros((0, toxicity.FACTORS)))
+    monkeypatch.setattr(toxicity, "train", lambda *_: machine)
+    batch = pa.record_batch([pa.array(range(2500)), pa.array([f"words {k} of a text" for k in range(2500)])], ["doc_id", "text"])
+    stages = [packing.token_pieces(Captured()), pii.redact(Captured()), toxicity.score(Captured(), machine), toxicity.keep_harmless(Captured(), None, 1.1)]
+    for run in [s.run for s in stages] + [simhash._word_prints]:
+        got = list(run([batch.select([0, 0, 1]).rename_columns(["_row", "_id", "text"]) if run is simhash._word_prints else batch]))
+        assert max(b.num_rows for b in got) <= 1000
+        assert [i for b in got for i in b.column(0).to_pylist()] == list(range(2500))
+    assert len(tokens.encoder(tokens.tokenizer_path("byte_bpe_50k.json"), "byte", 0, 50).known) <= 50
+
+
+def test_workers_give_memory_back_when_a_task_ends():
+    def resident():
+        with open("/proc/self/status") as f:
+            return int(next(x for x in f if x.startswith("VmRSS")).split()[1]) / 1024
+
+    last = []
+
+    def run(batches):
+        held = [bytearray(2000) for _ in range(100_000)]
+        last.append(bytearray(2000))  # lies behind them, so the heap does not shrink by itself
+        yield from batches
+        del held
+
+    before = resident()
+    assert list(trimmed(run)([1, 2])) == [1, 2]
+    assert resident() - before < 100
+
+
 def test_range_coder_round_trip_and_damage():
     rng = np.random.default_rng(1)
     for n in (0, 1, 2, 255, 256, 257, 5000):
