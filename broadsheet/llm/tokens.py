@@ -4,7 +4,8 @@ Both public vocabularies cut a text into pieces by a pattern and merge each piec
 the ids of a text are those of its pieces in a row. The ids of pieces met before come from a
 dictionary as bytes (little-endian unsigned 32-bit); new ones go to the tokenizer's merge model.
 The patterns below are those of the vocabularies for Latin-1; texts with other characters,
-control characters, or the string of a special token go to the tokenizer as a whole.
+control characters, or the string of a special token go to the tokenizer as a whole. Where pieces hold no white space
+('word'), words between it are looked up first, and only those not met before are cut into pieces.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import functools
 import os
 import re
 import struct
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 #: Characters beyond those of which the classes are settled here.
 NOT_PLAIN = re.compile(r"[^\t\n\r\x20-\x7e\xa1-\xff]")
@@ -23,8 +24,8 @@ PIECES = {
     "byte": re.compile(rf"'(?:[stmd]|re|ve|ll)| ?[{LETTER}]+| ?[{NUMBER}]+| ?[^\s{LETTER}{NUMBER}]+|\s+(?!\S)|\s+"),
     "word": re.compile(rf"'(?:[stmd]|re|ve|ll)|[{LETTER}]+|[{NUMBER}]|[^\s{LETTER}{NUMBER}]+"),
 }
-#: Entries of the dictionary before it starts anew: about 200 MB.
-KEPT = 1_000_000
+#: Entries of the dictionary before it starts anew: about 200 MB. Characters above which a word or piece is no entry.
+KEPT, LONGEST = 1_000_000, 64
 
 
 def tokenizer_path(name: str) -> str:
@@ -34,22 +35,28 @@ def tokenizer_path(name: str) -> str:
 
 
 class Known(dict):
-    """piece -> its ids as bytes; pieces not met yet are merged when they are asked for."""
+    """A piece, or a word of pieces that find cuts, -> its ids as bytes; those not met yet are cut and merged when they are asked for."""
 
-    def __init__(self, tokenizer, kept: int = KEPT):
+    def __init__(self, tokenizer, kept: int = KEPT, find: Callable[[str], list[str]] | None = None):
         from tokenizers.pre_tokenizers import ByteLevel
 
         super().__init__()
-        self.kept = kept
+        self.kept, self.find = kept, find
         as_bytes = ByteLevel(add_prefix_space=False, use_regex=False)
         self.letters = {i: as_bytes.pre_tokenize_str(chr(i))[0][0] for i in range(256)}
         self.merge = tokenizer.model.tokenize
 
-    def __missing__(self, piece: str) -> bytes:
-        if len(self) >= self.kept:
-            self.clear()
-        ids = [t.id for t in self.merge(piece.translate(self.letters))]
-        found = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+    def __missing__(self, word: str) -> bytes:
+        pieces = self.find(word) if self.find else ()
+        if len(pieces) > 1:
+            found = b"".join(map(self.__getitem__, pieces))
+        else:
+            ids = [t.id for t in self.merge(word.translate(self.letters))]
+            found = struct.pack(f"<{len(ids)}I", *ids)
+        if len(word) <= LONGEST:
+            if len(self) >= self.kept:
+                self.clear()
+            self[word] = found
         return found
 
 
@@ -64,7 +71,7 @@ class Encoder:
         self.end = struct.pack("<I", end_id)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.find, self.fold = PIECES[kind].findall, kind == "word"
-        self.known = Known(self.tokenizer, kept)
+        self.known = Known(self.tokenizer, kept, self.find if self.fold else None)
 
     def whole(self, text: str) -> bytes:
         """The tokenizer's own way."""
@@ -80,7 +87,7 @@ class Encoder:
             elif NOT_PLAIN.search(text) or any(s in text for s in self.special):
                 yield self.whole(text) + self.end
             else:
-                yield b"".join(map(get, self.find(text.lower() if self.fold else text))) + self.end
+                yield b"".join(map(get, text.lower().split() if self.fold else self.find(text))) + self.end
 
 
 @functools.lru_cache(maxsize=2)

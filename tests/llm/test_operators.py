@@ -344,6 +344,18 @@ def test_tokens_are_the_tokenizers_own():
             assert ids[:-4] == e.whole(text or "") and ids[-4:] == e.end
 
 
+def test_words_met_before_are_not_cut_again():
+    e = tokens.Encoder(tokens.tokenizer_path("word_bpe_49k.json"), "word", 2)
+    cut = []
+    e.known.find = lambda word, find=e.find: cut.append(word) or find(word)
+    e.find = None  # whole texts are not cut
+    text = "They're here,\tsaid X2. They're  HERE, said\r\nx2.\n"
+    assert list(e.encode([text] * 3)) == [e.whole(text) + e.end] * 3
+    assert sorted(cut) == sorted({"they're", "they", "'re", "here,", "here", ",", "said", "x2.", "x", "2", "."})
+    long = "ab1." * 50
+    assert list(e.encode([long])) == [e.whole(long) + e.end] and max(map(len, e.known)) <= tokens.LONGEST
+
+
 class Captured:
     """Stands for a DataFrame, and keeps the function that works on its batches."""
 
