@@ -7,14 +7,15 @@ them. So numpy works on whole lanes while the model still adapts id by id.
 For each id there are up to three decisions. Is it the id last seen after the same two ids? The
 chance mixes, in the logistic domain with learned weights, the record of order-2 predictions of
 that confidence, the order-1 prediction's record for or against it, and the order-0 frequency of
-the predicted id. If not: is it the id last seen after the same one id? Mixed likewise. If not:
-the id itself, by adaptive order-0 frequencies.
+the predicted id, in octaves. If not: is it the id last seen after the same one id? Mixed likewise. If not:
+the id itself, by adaptive order-0 frequencies of the ids that the block has.
 
 All arithmetic that both sides must share is on integers; the two tables that come from exp and
 log are rounded, and their checksum is part of each block. Each lane is a range coder with 60 bits
-of state and digits of 30 bits, carries settled at the end.
+of state and digits of 20 bits, carries settled at the end.
 
-Block: header (magic, lanes, steps, ids, alphabet, checksums), number of digits of each lane, digits.
+Block: header (magic, lanes, steps, ids, alphabet, checksums), number of digits, the ids that occur, digits
+as the lanes ask for them.
 """
 
 from __future__ import annotations
@@ -24,11 +25,13 @@ import zlib
 
 import numpy as np
 
-MAGIC = b"BCM2"
+MAGIC = b"BCM3"
 HEADER = struct.Struct("<4sIIIIIIII")
-DIGIT, LOW30 = np.uint64(30), np.uint64((1 << 30) - 1)
-SMALL = np.uint64(1 << 30)
-START = np.uint64(1 << 60)
+DIGIT, LOW20 = np.uint64(20), np.uint64((1 << 20) - 1)
+#: A span below SMALL takes digits in after a step. The three decisions of a step narrow it by 9, 9 and 21 bits at most.
+KEEP, START = np.uint64(40), np.uint64(1 << 60)
+SMALL, LOW40 = np.uint64(1 << 40), np.uint64((1 << 40) - 1)
+FIRST = 3
 MOST_TOTAL = 1 << 22
 LANES, STEPS = 8192, 128
 #: Ids after which a block closes; a longer document is a block by itself.
@@ -37,136 +40,126 @@ BLOCK_IDS = LANES * STEPS
 #: ln(p / (1 - p)) in 1/256 for p in 1/4096, and back to p in 1/65536.
 _P = (np.arange(4096) + 0.5) / 4096
 STRETCH = np.clip(np.rint(np.log(_P / (1 - _P)) * 256), -2047, 2047).astype(np.int32)
-SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 32, 65536 - 32).astype(np.uint64)
+SQUASH = np.clip(np.rint(65536 / (1 + np.exp(-np.arange(-2047, 2048) / 256))), 128, 65536 - 128).astype(np.uint64)
 TABLES = zlib.crc32(STRETCH.astype("<i8").tobytes() + SQUASH.astype("<i8").tobytes())
 
+#: Octaves of an id's order-0 frequency: below 1/1024, from there on by twos, from 1/16 on; the chance each stands for.
+OCTAVES = 8
+OWN = STRETCH[[2, 5, 11, 22, 45, 90, 181, 362]]
 
-#: The next confidence after a miss (0 to 15), and after a hit (16 to 31).
-MORE = np.array([c >> 1 for c in range(16)] + [min(c + 1, 15) for c in range(16)], dtype=np.int8)
+#: The next confidence after a miss (0 to 15), and after a hit (16 to 31), where a table's entry has it: above the id.
+MORE = np.array([c >> 1 for c in range(16)] + [min(c + 1, 15) for c in range(16)], dtype=np.int32) << 16
 
 
 class Mixer:
-    """Chances from three stretched inputs with a set of weights for each confidence c: two inputs that hang on
-    classes alone (c, and a joint class c * others + s), and one of its own for each decision. So weights and class inputs
-    meet in tables, and a step costs three look-ups for each decision and three sums to learn."""
+    """Chances from three stretched inputs with a set of weights for each confidence c. The inputs hang on classes
+    (c, s among others, and an octave), so chances stand in a table of joint classes that is made anew for each step; a decision
+    costs a look-up there, and two counts to learn."""
 
     def __init__(self, others: int):
-        self.others = others
+        self.shape = 16, others, OCTAVES
+        self.size = 16 * others * OCTAVES
         self.w = np.full((3, 16), 65536 // 3 + 8192, dtype=np.int64)
         self.hits, self.all = np.ones((16, others), dtype=np.int64), np.full((16, others), 2, dtype=np.int64)
 
-    def mix(self, joint: np.ndarray, own: np.ndarray) -> np.ndarray:
-        """The chance of a hit, in 1/65536; own is the third input."""
+    def mix(self) -> np.ndarray:
+        """The chance of a hit in each joint class, in 1/65536."""
         self.by_c = STRETCH[(self.hits.sum(1) << 12) // self.all.sum(1)].astype(np.int64)
         self.by_s = STRETCH[(self.hits.sum(0) << 12) // self.all.sum(0)].astype(np.int64)
-        known = (self.w[0] * self.by_c)[:, None] + self.w[1][:, None] * self.by_s
-        weight = np.repeat(self.w[2], self.others).astype(np.int32)
-        dot = known.ravel().astype(np.int32)[joint] + weight[joint] * own
-        self.p = SQUASH[np.clip(dot >> 16, -2047, 2047) + 2047]
+        known = ((self.w[0] * self.by_c)[:, None] + self.w[1][:, None] * self.by_s).astype(np.int32)
+        dot = (known[:, :, None] + (self.w[2].astype(np.int32)[:, None] * OWN)[:, None]) >> 16
+        self.p = SQUASH.take(dot.ravel() + 2047, mode="clip")
         return self.p
 
-    def learn(self, joint: np.ndarray, own: np.ndarray, hit: np.ndarray) -> None:
-        err = hit * 65536.0 - self.p
-        shape = self.hits.shape
-        n = np.bincount(joint, minlength=self.hits.size).reshape(shape)
-        of = np.bincount(joint, err, self.hits.size).astype(np.int64).reshape(shape)
-        mine = np.bincount(joint, err * own, self.hits.size).astype(np.int64).reshape(shape).sum(1)
+    def learn(self, n: np.ndarray, hit: np.ndarray) -> None:
+        """n: decisions in each joint class; hit: those that hit."""
+        err = ((hit << 16) - n * self.p.view(np.int64)).reshape(self.shape)
+        of = err.sum(2)
+        n, hit = n.reshape(self.shape).sum(2), hit.reshape(self.shape).sum(2)
         each = np.maximum(n.sum(1), 1)
-        self.w += np.stack([of.sum(1) * self.by_c, of @ self.by_s, mine]) // each >> 9
-        np.clip(self.w, -(1 << 18), 1 << 18, out=self.w)
-        self.hits += np.bincount(joint[hit], minlength=self.hits.size).reshape(shape)
+        self.w += np.stack([of.sum(1) * self.by_c, of @ self.by_s, err.sum(1) @ OWN]) // each >> 9
+        self.w = np.maximum(np.minimum(self.w, 1 << 18), -(1 << 18))
+        self.hits += hit
         self.all += n
 
 
 class Model:
-    """What encoder and decoder know after the same ids."""
+    """What encoder and decoder know after the same ids, which are numbered from 0 to alphabet - 1."""
 
-    def __init__(self, alphabet: int):
+    def __init__(self, alphabet: int, slots: bool):
         self.alphabet = alphabet
-        self.freq = np.ones(alphabet, dtype=np.int64)
+        self.bits = max(12, alphabet.bit_length() + 4)
+        self.count = np.ones(alphabet, dtype=np.int64)
         self.fresh = np.zeros(alphabet, dtype=np.int64)
-        self.steps = 0
+        self.steps, self.slots = 0, slots
+        self.octaves = (1 << self.bits) >> np.arange(10, 3, -1)
         self._sum()
-        self.next1, self.sure1 = np.zeros(1 << 16, dtype=np.int32), np.zeros(1 << 16, dtype=np.int8)
-        self.next2, self.sure2 = np.zeros(1 << 18, dtype=np.int32), np.zeros(1 << 18, dtype=np.int8)
+        # entries: confidence above 16 bits of the id
+        self.next1, self.next2 = np.zeros(alphabet, dtype=np.int32), np.zeros(1 << 18, dtype=np.int32)
         self.mix2, self.mix1 = Mixer(32), Mixer(1)
 
     def _sum(self) -> None:
-        self.cum = np.concatenate(([0], np.cumsum(self.freq))).astype(np.int32)
-        self.total = int(self.cum[-1])
-        # ids by bins of the sum: bin k begins in the id that bins[k] ids end before
-        self.shift = max(0, self.total.bit_length() - 16)
-        self.bins = np.cumsum(np.bincount((self.cum[1:] + (1 << self.shift) - 1) >> self.shift, minlength=(self.total >> self.shift) + 2)).astype(np.int32)
-        self.known0 = STRETCH[np.minimum((self.freq << 12) // self.total, 4095)].astype(np.int32)
-
-    def ids_at(self, target: np.ndarray) -> np.ndarray:
-        """The id in whose part of the sum each target lies."""
-        out = self.bins[target >> self.shift]
-        late = np.flatnonzero(self.cum[out + 1] <= target)
-        while len(late):  # ids that end within the bin, before the target
-            out[late] += 1
-            late = late[self.cum[out[late] + 1] <= target[late]]
-        return out
+        """Frequencies of 1 or more that sum up to 1 << bits or less; slot: the id in whose part of the sum a number lies."""
+        freq = 1 + self.count * ((1 << self.bits) - self.alphabet) // int(self.count.sum())
+        self.octave = np.searchsorted(self.octaves, freq, side="right").astype(np.int32)
+        if self.slots:
+            self.slot = np.repeat(np.arange(self.alphabet), freq)
+        self.freq = freq.view(np.uint64)
+        self.cum = (np.cumsum(freq) - freq).view(np.uint64)
 
     def at(self, a: np.ndarray, b: np.ndarray) -> None:
         """Looks up the predictions after ids a, b."""
         self.k1 = b
         self.k2 = ((a * 0x9E3779B1 + b * 0x85EBCA6B) >> 8) & 0x3FFFF
-        self.p1, self.c1 = self.next1[self.k1], self.sure1[self.k1]
-        self.p2, self.c2 = self.next2[self.k2], self.sure2[self.k2]
-        self.apart = self.p1 != self.p2
+        self.v1, self.v2 = self.next1.take(b, mode="clip"), self.next2.take(self.k2, mode="clip")
+        self.p1, self.p2 = self.v1 & 0xFFFF, self.v2 & 0xFFFF
 
     def chance2(self) -> np.ndarray:
         """Of the id last seen after two ids; the other class says what order 1 holds, and whether it agrees."""
-        self.joint2 = (self.c2.astype(np.int64) << 5) + self.c1 + (~self.apart).view(np.int8) * np.int8(16)
-        self.own2 = self.known0[self.p2]
-        return self.mix2.mix(self.joint2, self.own2)
+        self.side = ((self.v1 >> 16) << 3) + ((self.p1 == self.p2).view(np.int8) * np.int32(128))
+        joint = ((self.v2 >> 16) << 8) + self.side + self.octave.take(self.p2, mode="clip")
+        self.joint2 = joint.astype(np.int64)
+        return self.mix2.mix().take(self.joint2, mode="clip")
 
     def chance1(self, on: np.ndarray) -> np.ndarray:
-        """Of the id last seen after one id, for the places that are left."""
-        self.joint1, self.own1 = self.c1[on].astype(np.int64), self.known0[self.p1[on]]
-        return self.mix1.mix(self.joint1, self.own1)
-
-    def learn(self, ids: np.ndarray, hit2: np.ndarray, on1: np.ndarray, hit1: np.ndarray, rest: np.ndarray) -> None:
+        """Of the id last seen after one id, for the places that are left: none where order 2 said the same."""
+        self.p1_on = self.p1.take(on, mode="clip")
+        self.joint1 = (self.side.take(on, mode="clip") + self.octave.take(self.p1_on, mode="clip")).astype(np.int64)
+        known = np.zeros(2 * self.mix1.size, dtype=np.uint64)
+        known[: self.mix1.size] = self.mix1.mix()
+        return known.take(self.joint1, mode="clip")
+
+    def learn(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, rest: np.ndarray) -> None:
         """Every decision counts. Order-0 counts are taken in every step, and from the sixteenth on their table is made anew every fourth."""
-        self.mix2.learn(self.joint2, self.own2, hit2)
-        if len(on1):
-            self.mix1.learn(self.joint1, self.own1, hit1)
-        for table, sure, k, p, c in ((self.next2, self.sure2, self.k2, self.p2, self.c2), (self.next1, self.sure1, self.k1, self.p1, self.c1)):
-            good = p == ids
-            sure[k] = MORE[c + (good.view(np.int8) << 4)]
-            table[k] = np.where(good | (c > 1), p, ids)
+        for mix, joint, hit in ((self.mix2, self.joint2, hit2), (self.mix1, self.joint1, hit1)):
+            n = np.bincount(joint, minlength=mix.size)[: mix.size]
+            mix.learn(n, np.bincount(joint.take(np.flatnonzero(hit), mode="clip"), minlength=mix.size))
+        ids = ids.astype(np.int32)
+        for table, k, v, p in ((self.next2, self.k2, self.v2, self.p2), (self.next1, self.k1, self.v1, self.p1)):
+            c = v >> 16
+            kept = (1 - c) >> 31  # all ones where the confidence is above 1
+            table[k] = (ids ^ ((p ^ ids) & kept)) | MORE.take(c + (p == ids).view(np.int8) * np.int32(16), mode="clip")
         self.fresh += np.bincount(rest, minlength=self.alphabet)
         self.steps += 1
         if self.steps < 16 or self.steps % 4 == 0:
-            self.freq += 3 * self.fresh
+            self.count += 3 * self.fresh
             self.fresh[:] = 0
+            while int(self.count.sum()) > MOST_TOTAL:
+                self.count = (self.count + 1) >> 1
             self._sum()
-            while self.total > MOST_TOTAL:
-                self.freq = (self.freq + 1) >> 1
-                self._sum()
 
 
-def _pack30(digits: np.ndarray) -> bytes:
-    """Digits of 30 bits one after the other: sixteen of them are fifteen words of 32 bits."""
-    n = -(-len(digits) // 16)
-    d = np.zeros((16, n), np.uint64)
-    d.T.flat[: len(digits)] = digits
-    words = np.empty((n, 15), ">u4")
-    for j in range(15):  # word j holds the last 30 - 2j bits of digit j and the first 2 + 2j of the next
-        rest = np.uint64((1 << (30 - 2 * j)) - 1)
-        words[:, j] = ((d[j] & rest) << np.uint64(2 + 2 * j)) | (d[j + 1] >> np.uint64(28 - 2 * j))
-    return words.tobytes()
+def _pack20(digits: np.ndarray) -> bytes:
+    """Digits of 20 bits one after the other, two in five bytes."""
+    d = np.append(digits, np.zeros(len(digits) % 2, digits.dtype)).astype(np.uint64)
+    return ((d[::2] << DIGIT) | d[1::2]).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes()
 
 
-def _unpack30(raw: bytes, n: int) -> np.ndarray:
-    w = np.frombuffer(raw, ">u4").reshape(-1, 15).T.astype(np.uint64)
-    d = np.empty((w.shape[1], 16), np.uint64)
-    d[:, 0] = w[0] >> np.uint64(2)
-    for i in range(1, 15):
-        d[:, i] = ((w[i - 1] & np.uint64((1 << 2 * i) - 1)) << np.uint64(30 - 2 * i)) | (w[i] >> np.uint64(2 + 2 * i))
-    d[:, 15] = w[14] & LOW30
-    return d.ravel()[:n]
+def _unpack20(raw: bytes, n: int) -> np.ndarray:
+    wide = np.zeros((-(-n // 2), 8), np.uint8)
+    wide[:, 3:] = np.frombuffer(raw, np.uint8).reshape(-1, 5)
+    pairs = wide.view(">u8").ravel().astype(np.uint64)
+    return np.stack([pairs >> DIGIT, pairs & LOW20], 1).ravel()[:n]
 
 
 def _shape(n: int) -> tuple[int, int]:
@@ -176,71 +169,77 @@ def _shape(n: int) -> tuple[int, int]:
 
 
 def encode(ids: np.ndarray, alphabet: int) -> bytes:
-    """A block of ids, each below alphabet, which is at most 65536."""
-    ids = np.ascontiguousarray(ids, dtype=np.int64)
+    """A block of ids, each below alphabet, which is at most 65536; ValueError if one is not."""
     n = len(ids)
     lanes, steps = _shape(n)
-    grid = np.zeros(lanes * steps, dtype=np.int64)
-    grid[:n] = ids
+    occurs = np.bincount(ids, minlength=alphabet) > 0
+    if len(occurs) > alphabet:
+        raise ValueError("id beyond the alphabet")
+    present = zlib.compress(np.packbits(occurs).tobytes(), 6)
+    grid = np.zeros(lanes * steps, dtype=np.uint16)
+    grid[:n] = (np.cumsum(occurs) - 1).astype(np.uint16).take(ids, mode="clip")
     grid = grid.reshape(lanes, steps).T.copy()  # a row for each step
     last = n - (lanes - 1) * steps
     low, span = np.zeros(lanes, dtype=np.uint64), np.full(lanes, START)
-    model, out_lane, out_digit = Model(alphabet), [], []
-
-    def settle(small: np.ndarray) -> None:
-        if len(small):
-            out_lane.append(small)
-            digits = low[small]
-            out_digit.append(digits >> DIGIT)
-            low[small] = (digits & LOW30) << DIGIT
-            span[small] <<= DIGIT
-
-    def flag(p: np.ndarray, hit: np.ndarray, on: np.ndarray | None = None) -> None:
-        """on: the lanes (None: the first len(p))."""
-        at = slice(len(p)) if on is None else on
-        now = span[at]
-        bound = (now >> np.uint64(16)) * p
-        low[at] += bound * ~hit
-        span[at] = now = np.where(hit, bound, now - bound)
-        small = np.flatnonzero(now < SMALL)
-        settle(small if on is None else on[small])
-
+    out_lane, out_digit = [], []
+    model = Model(int(occurs.sum()), False) if n else None
+    bits = np.uint64(model.bits) if n else None
     prev = [np.zeros(lanes, dtype=np.int64)] * 2
     for t in range(steps):
         m = lanes if t < last else lanes - 1
         if not m:
             break
-        x = grid[t, :m]
+        x = grid[t, :m].astype(np.int64)
         model.at(prev[0][:m], prev[1][:m])
         hit2 = model.p2 == x
-        flag(model.chance2(), hit2)
-        on1 = np.flatnonzero(~hit2 & model.apart)
-        hit1 = model.p1[on1] == x[on1]
-        flag(model.chance1(on1), hit1, on1)
-        missed = ~hit2
-        missed[on1[hit1]] = False
-        on0 = np.flatnonzero(missed)
-        s = x[on0]
-        r = span[on0] // np.uint64(model.total)
-        low[on0] += r * model.cum[s].astype(np.uint64)
-        span[on0] = now = r * model.freq[s].astype(np.uint64)
-        settle(on0[now < SMALL])
-        model.learn(x, hit2, on1, hit1, s)
-        prev = [prev[1], grid[t]]
-    every = np.arange(lanes)
-    for _ in range(2):
+        missed = (~hit2).astype(np.uint64)
+        now = span[:m]
+        bound = (now >> np.uint64(16)) * model.chance2()
+        low[:m] += bound * missed
+        span[:m] = bound + (now - bound - bound) * missed
+        on = np.flatnonzero(missed)
+        y, lo, now = x.take(on, mode="clip"), low.take(on, mode="clip"), span.take(on, mode="clip")
+        bound = (now >> np.uint64(16)) * model.chance1(on)
+        hit1 = model.p1_on == y
+        missed = (~hit1).astype(np.uint64)
+        lo += bound * missed
+        now = bound + (now - bound - bound) * missed
+        rest = np.flatnonzero(missed)
+        s, r = y.take(rest, mode="clip"), now.take(rest, mode="clip") >> bits
+        lo[rest] += r * model.cum.take(s, mode="clip")
+        now[rest] = r * model.freq.take(s, mode="clip")
+        low[on], span[on] = lo, now
+        model.learn(x, hit2, hit1, s)
+        prev = [prev[1], x]
+        while len(small := np.flatnonzero(span < SMALL)):
+            lo = low.take(small, mode="clip")
+            out_lane.append(small.astype(np.uint16))
+            out_digit.append((lo >> KEEP).astype(np.uint32))
+            low[small] = (lo & LOW40) << DIGIT
+            span[small] = span.take(small, mode="clip") << DIGIT
+    every = np.arange(lanes, dtype=np.uint16)
+    asked = sum(map(len, out_lane))  # settled while ids were coded: as many the decoder asks for, each FIRST digits later
+    for _ in range(FIRST):
         out_lane.append(every)
-        out_digit.append(low >> DIGIT)
-        low = (low & LOW30) << DIGIT
-    lane, digit = np.concatenate(out_lane), np.concatenate(out_digit)
-    digit = digit[np.argsort(lane.astype(np.uint16), kind="stable")]  # a radix sort: LANES is below 65536
-    while len(over := np.flatnonzero(digit > LOW30)):
-        digit[over] &= LOW30
-        digit[over - 1] += np.uint64(1)
-    counts = np.bincount(lane, minlength=lanes).astype("<u4").tobytes()
-    body = zlib.compress(counts, 6)
-    body = struct.pack("<I", len(body)) + body + _pack30(digit)
-    head = HEADER.pack(MAGIC, lanes, steps, n, alphabet, TABLES, zlib.crc32(ids.astype("<u4").tobytes()), len(digit), 0)[:-4]
+        out_digit.append((low >> KEEP).astype(np.uint32))
+        low = (low & LOW40) << DIGIT
+    stream = np.zeros(0, np.uint32)
+    if n:
+        lane = np.concatenate(out_lane)
+        order = np.argsort(lane, kind="stable")  # a radix sort
+        digit = np.concatenate(out_digit)[order]
+        while len(over := np.flatnonzero(digit > LOW20)):
+            digit[over] &= np.uint32(LOW20)
+            digit[over - 1] += np.uint32(1)
+        counts = np.bincount(lane, minlength=lanes)
+        first = (np.cumsum(counts) - counts)[:, None] + np.arange(FIRST)
+        later = np.ones(len(digit), bool)
+        later[first] = False
+        stream = np.empty(len(digit), np.uint32)
+        stream[: FIRST * lanes] = digit[first].ravel()
+        stream[FIRST * lanes + order[order < asked]] = digit[later]
+    body = struct.pack("<I", len(present)) + present + _pack20(stream)
+    head = HEADER.pack(MAGIC, lanes, steps, n, alphabet, TABLES, zlib.crc32(ids.astype("<u4").tobytes()), len(stream), 0)[:-4]
     return head + struct.pack("<I", zlib.crc32(body, zlib.crc32(head))) + body
 
 
@@ -257,57 +256,55 @@ def decode(block: bytes) -> np.ndarray:
     if not n:
         return np.zeros(0, dtype=np.int64)
     size = struct.unpack_from("<I", body)[0]
-    counts = np.frombuffer(zlib.decompress(body[4 : 4 + size]), dtype="<u4").astype(np.int64)
-    digit = np.append(_unpack30(body[4 + size :], digits), np.uint64(0))
-    at = np.cumsum(counts) - counts
-    value = (digit[at] << DIGIT) | digit[at + 1]
-    at += 2
+    present = np.flatnonzero(np.unpackbits(np.frombuffer(zlib.decompress(body[4 : 4 + size]), np.uint8), count=alphabet))
+    stream = _unpack20(body[4 + size :], digits)
+    at = FIRST * lanes
+    first = stream[:at].reshape(lanes, FIRST)
+    value = (first[:, 0] << KEEP) | (first[:, 1] << DIGIT) | first[:, 2]
     span = np.full(lanes, START)
-    model = Model(alphabet)
-    grid = np.zeros((steps, lanes), dtype=np.int64)
+    model = Model(len(present), True)
+    bits = np.uint64(model.bits)
+    grid = np.zeros((steps, lanes), dtype=np.uint16)
     last = n - (lanes - 1) * steps
-
-    def settle(small: np.ndarray) -> None:
-        if len(small):
-            value[small] = (value[small] << DIGIT) | digit[at[small]]
-            at[small] += 1
-            span[small] <<= DIGIT
-
-    def flag(p: np.ndarray, on: np.ndarray | None = None) -> np.ndarray:
-        at = slice(len(p)) if on is None else on
-        now, held = span[at], value[at]
-        bound = (now >> np.uint64(16)) * p
-        hit = held < bound
-        value[at] = held - bound * ~hit
-        span[at] = now = np.where(hit, bound, now - bound)
-        small = np.flatnonzero(now < SMALL)
-        settle(small if on is None else on[small])
-        return hit
-
     prev = [np.zeros(lanes, dtype=np.int64)] * 2
     for t in range(steps):
         m = lanes if t < last else lanes - 1
         if not m:
             break
         model.at(prev[0][:m], prev[1][:m])
-        hit2 = flag(model.chance2())
+        now, held = span[:m], value[:m]
+        bound = (now >> np.uint64(16)) * model.chance2()
+        hit2 = held < bound
+        missed = (~hit2).astype(np.uint64)
+        value[:m] -= bound * missed
+        span[:m] = bound + (now - bound - bound) * missed
         x = model.p2.astype(np.int64)  # right where order 2 hit, and overwritten elsewhere
-        on1 = np.flatnonzero(~hit2 & model.apart)
-        hit1 = flag(model.chance1(on1), on1)
-        x[on1[hit1]] = model.p1[on1[hit1]]
-        missed = ~hit2
-        missed[on1[hit1]] = False
-        on0 = np.flatnonzero(missed)
-        r = span[on0] // np.uint64(model.total)
-        s = model.ids_at(np.minimum(value[on0] // r, np.uint64(model.total - 1)).astype(np.int32))
-        value[on0] -= r * model.cum[s].astype(np.uint64)
-        span[on0] = now = r * model.freq[s].astype(np.uint64)
-        settle(on0[now < SMALL])
-        x[on0] = s
-        model.learn(x, hit2, on1, hit1, s)
+        on = np.flatnonzero(missed)
+        held, now = value.take(on, mode="clip"), span.take(on, mode="clip")
+        bound = (now >> np.uint64(16)) * model.chance1(on)
+        hit1 = held < bound
+        missed = (~hit1).astype(np.uint64)
+        held -= bound * missed
+        now = bound + (now - bound - bound) * missed
+        y = model.p1_on.astype(np.int64)
+        rest = np.flatnonzero(missed)
+        v, r = held.take(rest, mode="clip"), now.take(rest, mode="clip") >> bits
+        # a quotient of floats may be off by one: where that leaves the id's part, the exact one follows
+        s = model.slot.take((v.view(np.int64) / r.view(np.int64)).astype(np.int64), mode="clip")
+        left, width = v - r * model.cum.take(s, mode="clip"), r * model.freq.take(s, mode="clip")
+        if len(off := np.flatnonzero(left >= width)):
+            s[off] = again = model.slot.take((v[off] // r[off]).view(np.int64), mode="clip")
+            left[off], width[off] = v[off] - r[off] * model.cum[again], r[off] * model.freq[again]
+        held[rest], now[rest], y[rest] = left, width, s
+        value[on], span[on], x[on] = held, now, y
+        model.learn(x, hit2, hit1, s)
         grid[t, :m] = x
-        prev = [prev[1], grid[t]]
-    ids = grid.T.ravel()[:n]
+        prev = [prev[1], x]
+        while len(small := np.flatnonzero(span < SMALL)):
+            value[small] = (value.take(small, mode="clip") << DIGIT) | stream[at : at + len(small)]
+            span[small] = span.take(small, mode="clip") << DIGIT
+            at += len(small)
+    ids = present.take(grid.T.ravel()[:n], mode="clip")
     if zlib.crc32(ids.astype("<u4").tobytes()) != ids_crc:
         raise ValueError("ids do not match their checksum")
     return ids

@@ -414,6 +414,62 @@ def test_range_coder_round_trip_and_damage():
         rangecoder.decode(block[:10])
 
 
+def test_range_coder_models_the_ids_of_the_block():
+    rng = np.random.default_rng(2)
+    ids = rng.integers(0, 64, 20_000) * 700
+    assert len(rangecoder.encode(ids, 49408)) * 8 / len(ids) < 7  # 6 each, and 60 for each lane of 128 ids
+    with pytest.raises(ValueError):
+        rangecoder.encode(ids, 44_100)
+
+
+def test_range_coder_keeps_narrow_spans():
+    rng = np.random.default_rng(3)
+    ids = np.tile(np.arange(16), 20_000)
+    ids[rng.integers(0, len(ids), 1000)] = rng.permutation(65536)[:1000]  # sure predictions fail, and rare ids follow
+    for x in (ids, np.concatenate((rng.permutation(65536), ids))):
+        assert (rangecoder.decode(rangecoder.encode(x, 65536)) == x).all()
+
+
+def test_chances_of_classes_are_those_of_each_decision():
+    rng = np.random.default_rng(4)
+    mixer, size = rangecoder.Mixer(32), 16 * 32 * rangecoder.OCTAVES
+    for _ in range(20):
+        joint, hit = rng.integers(0, size, 3000), rng.random(3000) < 0.3
+        c, s, octave = np.unravel_index(joint, (16, 32, rangecoder.OCTAVES))
+        w, got = mixer.w.copy(), mixer.mix()
+        inputs = np.stack([mixer.by_c[c], mixer.by_s[s], rangecoder.OWN[octave]])
+        dot = (w[:, c] * inputs).sum(0) >> 16
+        p = rangecoder.SQUASH[np.clip(dot, -2047, 2047) + 2047]
+        assert (got[joint] == p).all()
+        mixer.learn(np.bincount(joint, minlength=size), np.bincount(joint[hit], minlength=size))
+        for k in range(16):
+            err = (hit[c == k] * 65536 - p[c == k].astype(np.int64)) * inputs[:, c == k]
+            assert (mixer.w[:, k] == np.clip(w[:, k] + (err.sum(1) // max(1, (c == k).sum()) >> 9), -(1 << 18), 1 << 18)).all()
+
+
+def test_quotients_off_by_one_are_mended(monkeypatch):
+    class Off(np.ndarray):
+        wrong, asked = True, 0
+
+        def take(self, at, mode):
+            right = np.asarray(self).take(at, mode=mode)
+            if not len(at):
+                return right
+            Off.wrong, Off.asked = not Off.wrong, Off.asked + Off.wrong
+            return right if Off.wrong else np.maximum(right - 1, 0)
+
+    made = rangecoder.Model._sum
+
+    def _sum(self):
+        made(self)
+        if self.slots:
+            self.slot = self.slot.view(Off)
+
+    monkeypatch.setattr(rangecoder.Model, "_sum", _sum)
+    ids = np.random.default_rng(5).integers(0, 3000, 20_000)
+    assert (rangecoder.decode(rangecoder.encode(ids, 3000)) == ids).all() and Off.asked > 50
+
+
 def test_token_id_files(docs, rows, empty):
     e = tokens.Encoder(tokens.tokenizer_path("word_bpe_49k.json"), "word", 2)
     want, start = [], 0
