@@ -446,3 +446,31 @@ def test_parts_of_a_page_come_as_columns(spark):
     lines = [{"idx": k, "points": np.array([(10, 40 * k + 20), (90, 40 * k + 20)]), "surr": None, "article": a} for k, a in enumerate("aabb")]
     want = A.quadtree((0, 0, 128, 200), lines, 10, 20)
     assert [(tuple(r["r"]), r["line_ids"], r["a_ids"]) for r in got] == [(p["box"], p["lines"], p["a_ids"]) for p in want]
+
+
+def _plain_quadtree(part, own, boxes, largest):
+    x, y, w, h = part
+    for q in ((x, y, w // 2, h // 2), (x + w // 2, y, w - w // 2, h // 2), (x, y + h // 2, w // 2, h - h // 2), (x + w // 2, y + h // 2, w - w // 2, h - h // 2)):
+        inside = [n for n, b in zip(own, boxes) if min(P.overlap(b, q)) > 0 and min(b[2:]) > 0 and min(q[2:]) > 0]
+        ids = sorted({n["article"] for n in inside}, key=lambda a: (a is None, a or ""))
+        high = 0 < largest < q[3]
+        if min(q[2:]) > 0 and (len(ids) > 1 or high):
+            anew = A.line_boxes(inside)
+            if high or not all(P.holds(b, q) for b in anew):
+                yield from _plain_quadtree(q, inside, anew, largest)
+                continue
+        yield {"box": q, "lines": [n["idx"] for n in inside], "a_ids": ids}
+
+
+def test_parts_by_levels_are_those_of_the_plain_recursion_without_resampling_level_lines(monkeypatch):
+    rng = random.Random(31)
+    for n, largest in ((0, 20), (5, 0), (12, 20), (90, 20), (90, 0)):  # over 62 lines sets are told apart by their places
+        lines = []
+        for k in range(n):
+            x, y, w = rng.randint(0, 250), rng.randint(0, 200), rng.randint(1, 80)
+            ring = np.array([(x, y), (x + w, y), (x + w + 1, y - 9), (x + 1, y - 9)]) if rng.random() < 0.5 else None
+            lines.append({"idx": 2 * k, "points": np.array([(x, y), (x + w, y)]), "surr": ring, "article": rng.choice([None, "a", "b"])})
+        want = list(_plain_quadtree((0, 0, 300, 200), lines, A.line_boxes(lines, 5, 10), largest))
+        with monkeypatch.context() as m:
+            m.setattr(P, "resample", None)
+            assert A.quadtree((0, 0, 300, 200), lines, 10, largest) == want
