@@ -474,3 +474,21 @@ def test_parts_by_levels_are_those_of_the_plain_recursion_without_resampling_lev
         with monkeypatch.context() as m:
             m.setattr(P, "resample", None)
             assert A.quadtree((0, 0, 300, 200), lines, 10, largest) == want
+
+
+def test_distances_of_a_page_come_from_few_looks_at_all_lines_together(monkeypatch):
+    rng = random.Random(41)
+    calls, runs = [], O.runs
+    monkeypatch.setattr(O, "runs", lambda sizes: calls.append(1) or runs(sizes))
+    for lines_, at_once in ((300, O.AT_ONCE), (12, 40)):  # the second page is cut into many small steps
+        monkeypatch.setattr(O, "AT_ONCE", at_once)
+        pts = [[(x := 600 * rng.randint(0, 2), y := rng.randint(0, 9000 * lines_ // 300)), (x + 250, y + rng.randint(-4, 4)), (x + 500, y + rng.randint(-9, 9))] for _ in range(lines_)]
+        first = np.arange(lines_) * 3
+        calls.clear()
+        got = O._page_distances(np.concatenate(pts), first, first + 3, 5, 500)
+        if lines_ == 300:
+            assert len(calls) < 20  # lines were looked at one by one before
+            continue
+        p, begin = O._resampled_page(np.concatenate(pts).astype(float), first, first + 3, 5)
+        want = _naive_distances([list(map(tuple, q)) for q in np.split(p, begin[1:])], 5, 500)
+        assert got == pytest.approx(want, abs=1e-9)
