@@ -492,3 +492,37 @@ def test_distances_of_a_page_come_from_few_looks_at_all_lines_together(monkeypat
         p, begin = O._resampled_page(np.concatenate(pts).astype(float), first, first + 3, 5)
         want = _naive_distances([list(map(tuple, q)) for q in np.split(p, begin[1:])], 5, 500)
         assert got == pytest.approx(want, abs=1e-9)
+
+
+def test_outlines_come_from_circles_and_are_those_of_all_triangles(monkeypatch):
+    rng = random.Random(51)
+    rings = 0
+    for k in range(120):
+        pts = []
+        for _ in range(rng.randint(1, 12) if k % 2 else 0):  # lines of a page, each with its points raised
+            x, y, w, d = rng.randint(0, 500), rng.randint(0, 600), rng.randint(20, 300), rng.randint(1, 60)
+            q = P.resample([(x, y), (x + w, y)], rng.choice([20, 50])).tolist()
+            pts += q + [(a + 1, b - d) for a, b in q]
+        pts = pts or [(rng.randint(0, 400), rng.randint(0, 400)) for _ in range(rng.choice([9, 30, 90]))]
+        alpha = rng.choice([15, 40, 75])
+        p = np.array(sorted({tuple(q) for q in pts}))
+        want = P._alpha_shape_by_triangles(p, alpha)
+        with monkeypatch.context() as m:
+            if k % 2:
+                m.setattr(P, "delaunay", None)  # each point was put into a triangulation before
+            got = P.alpha_shape(pts, alpha)
+        if want != P.hull(pts):  # flat triangles at the hull are missing there
+            assert got == want
+            rings += 1
+        assert set(P.hull(pts)) <= set(got)
+    assert rings > 60
+
+
+def test_a_flat_triangle_at_the_hull_with_a_large_circle_is_no_part_of_the_outline():
+    points = [(10, 46), (10, 59), (30, 38), (33, 35), (26, 30)]
+    assert P.alpha_shape(points, 75) == points  # the hull, without (30, 38), before
+
+
+def test_lines_are_resampled_together_as_one_by_one():
+    lines = [np.array(v) for v in ([(0, 0), (100, 7)], [(5, 5), (5, 5)], [(0, 0), (30, 40), (-7, 3)])]
+    assert [v.tolist() for v in P.resampled(lines, 7)] == [P.resample(v, 7).tolist() for v in lines]
